@@ -13,29 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bloom import bloom_address, bloom_hit, bloom_words
+from ..operators.hot_join import BROADCAST_WORDS, join_counted
 from ..sources.scratch import materialize
 
-#: A key with more than 1/HOT_SHARE of the rows is hot: there are fewer than HOT_SHARE such keys.
-HOT_SHARE = 512
-#: A repeat filter of more words than this (16 bytes each) is joined by shuffle, not broadcast.
-BROADCAST_WORDS = 2_000_000
-
-
-def join_counted(rows: DataFrame, counted: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """Equi-join of ``rows`` with ``counted`` (unique in ``key``) without a hot task.
-
-    ``counted[size]`` holds how many of ``rows`` have the key.  Keys with over
-    ``total / HOT_SHARE`` rows number below HOT_SHARE, so they are broadcast; each of the
-    others holds a bounded share, and is shuffled.
-    """
-    is_hot = F.col(size) > F.lit(max(total // HOT_SHARE, 1))
-    hot = F.broadcast(counted.filter(is_hot))
-    tagged = rows.join(F.broadcast(counted.filter(is_hot).select(F.col(key).alias("_hot"))), F.col(key) == F.col("_hot"), "left")
-    to_hot = tagged.filter(F.col("_hot").isNotNull()).drop("_hot").join(hot, key)
-    to_rest = tagged.filter(F.col("_hot").isNull()).drop("_hot").join(counted.filter(~is_hot), key)
-    return to_hot.unionByName(to_rest)
-
-
 def _text_digest(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 

@@ -8,7 +8,7 @@ ORACLES: dict[str, str] = {
             SELECT doc_id, coalesce(text, '') AS t FROM documents
         ), w AS (
             SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
-                   list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+                   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
             FROM d
         ), pos AS (
             SELECT row_number() OVER () AS rid, * FROM w
