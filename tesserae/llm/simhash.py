@@ -98,6 +98,11 @@ def _replicas(fp: Column) -> Column:
     return F.concat(anchors(fp.bitwiseAND(F.lit(0xFFFFFFFF)), 0), anchors(F.shiftrightunsigned(fp, 32), 1))
 
 
+def _differing(x: np.ndarray) -> np.ndarray:
+    """How many bits are set; numpy counts those of the magnitude of signed numbers."""
+    return np.bitwise_count(x.view(np.uint64))
+
+
 def _spanning(prints: np.ndarray) -> list[tuple[int, int]]:
     """Links that join what is linked within one run: a search that visits each print once."""
     links, rest = [], prints
@@ -105,7 +110,7 @@ def _spanning(prints: np.ndarray) -> list[tuple[int, int]]:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             at = queue.pop()
-            near = np.bitwise_count(rest ^ at) <= MAX_BITS
+            near = _differing(rest ^ at) <= MAX_BITS
             if near.any():
                 found = rest[near]
                 rest = rest[~near]
@@ -133,7 +138,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(same):
                 break
             same = same[(h[same] | h[same + lag]).astype(bool)]
-            near = same[np.bitwise_count(f[same] ^ f[same + lag]) <= MAX_BITS]
+            near = same[_differing(f[same] ^ f[same + lag]) <= MAX_BITS]
             us.append(f[near])
             vs.append(f[near + lag])
         if us:
