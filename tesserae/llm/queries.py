@@ -11,6 +11,7 @@ from .dac import token_files
 from .exact_dedup import exact_dedup
 from .quality_rules import apply_policy, ledger
 from .simhash import near_duplicates
+from .toxicity import severity, train
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "fail_bits", "kept")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return severity(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -36,6 +42,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_toxicity": op4_toxicity,
     "op5_token_files": op5_token_files,
     "op6_simhash": op6_simhash,
     "op10_exact_dedup": op10_exact_dedup,
