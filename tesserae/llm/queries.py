@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .dac import token_files
 from .exact_dedup import exact_dedup
+from .mixing import mix
 from .quality_rules import apply_policy, ledger
 from .simhash import near_duplicates
 from .toxicity import severity, train
@@ -18,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents")).drop("row")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = apply_policy(ledger(_table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "fail_bits", "kept")
@@ -41,6 +46,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_quality_rules": op2_quality_rules,
     "op4_toxicity": op4_toxicity,
     "op5_token_files": op5_token_files,
