@@ -12,8 +12,11 @@ number of chunks (u64), the chunks (u8), the bitmap (lowest bit first) and the d
 
 from __future__ import annotations
 
+import array
+import gc
 import json
 import struct
+import sys
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -24,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.words import look_up
 from ..functions.worker import worker_store
 from ..sources.scratch import materialize, scratch_path
 
@@ -31,17 +35,21 @@ MAGIC = b"DAC1"
 CHUNK_BITS = 8
 RANK_BLOCK = 512
 END_ID = 2
+#: Files are read back by at most so many tasks.
+MAX_READERS = 10_000
 #: A file is closed at the document that brings it to this many tokens (4 bytes each in memory).
 SEGMENT_TOKENS = 4_000_000
 #: Texts are encoded together up to this many characters.
-ENCODE_CHARS = 1_000_000
-#: A memo of encoded strings is emptied at this many entries.
-MEMO_ENTRIES = 800_000
+ENCODE_CHARS = 8_000_000
+#: A memo of encoded parts is set aside at this many entries, and what is used again is kept.
+MEMO_ENTRIES = 600_000
 
-#: Fixed value: the pre-token pattern of byte-level BPE.
-BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters whose class is the same in every version of Unicode; other texts aren't memoized.
-STABLE = r"[^\t\n\r\x20-\x7eÀ-ɏ–—‘’“”…€]"
+STABLE_ASCII, UNSTABLE = b"\n" + bytes(range(0x20, 0x7F)), r"[^À-ɏ–—‘’“”…€]"
+#: Texts with such white space aren't cut.
+UNCUT = ("  ", " \n", "\n ", "\n\n")
+#: So many parts are encoded as one text.
+JOINED = 500
 
 
 def encode_levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -124,14 +132,23 @@ class DacFile:
         return out
 
 
+def _packed(ids: list[int]) -> bytes:
+    packed = array.array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class Encoder:
-    """Texts to ids with the tokenizers library, each distinct pre-token once.
+    """Texts to ids with the tokenizers library, each distinct part once.
 
     Byte-level BPE merges within pre-tokens only, so a text's ids are those of its
-    pre-tokens.  Where every space is followed by a character other than white space, a
-    pre-token holds a space at its start only: such a text is cut before its spaces, and the
-    parts are looked up in a memo.  Texts with other characters than the stable ones or with a
-    special token's string, and all texts under another kind of tokenizer, are encoded whole.
+    pre-tokens.  Where spaces and line ends are single and don't meet, a pre-token holds a
+    space at its start only, and a line end is a pre-token: such texts are cut there, and the
+    distinct parts are looked up in a memo.  New parts are encoded joined: after a space, or
+    with line ends between, nothing merges with what stands before.  Texts with other characters than the stable ones
+    or with a special token's string, and all texts under another kind of tokenizer, are
+    encoded whole.
     """
 
     def __init__(self, path: str):
@@ -143,36 +160,58 @@ class Encoder:
         kind = told.get("pre_tokenizer") or {}
         self.memoized = told.get("normalizer") is None and kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True)
         self.special = [x["content"] for x in told.get("added_tokens", [])]
-        self.pieces, self.odd = regex.compile(BYTE_LEVEL).findall, regex.compile(STABLE).search
-        self.of_piece: dict[str, bytes] = {}
-        self.of_part: dict[str, bytes] = {}
+        self.unstable = regex.compile(UNSTABLE).search
+        self.memo: dict[bytes, bytes] = {}
+        self.past: dict[bytes, bytes] = {}
+        self.line_end = self._whole(["\n"])[0]
+        known = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.spaced = np.array([t.startswith("Ġ") for t in known])
+        self.line_ends = np.array([t == "Ċ" for t in known])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, parts: list[str]) -> None:
-        """Add parts (without their leading space) to the memo."""
-        split = [self.pieces(" " + p) for p in parts]
-        if len(self.of_piece) > MEMO_ENTRIES:
-            self.of_piece.clear()
-        new = list(set().union(*split).difference(self.of_piece))
-        self.of_piece.update(zip(new, self._whole(new)))
-        get = self.of_piece.__getitem__
-        self.of_part.update(zip(parts, [get(s[0]) if len(s) == 1 else b"".join(map(get, s)) for s in split]))
-
-    def _cut(self, text: str) -> bool:
-        spaced = "  " in text or " \n" in text or " \t" in text or " \r" in text or text.endswith(" ")
-        return self.memoized and not spaced and not self.odd(text) and not any(s in text for s in self.special)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.split(" ") if self._cut(t) else None for t in texts]
-        if len(self.of_part) > MEMO_ENTRIES:
-            self.of_part.clear()
-        self._learn(list(set().union(*[s[1:] for s in split if s]).difference(self.of_part)))
-        heads = iter(self._whole([s[0] if s else t for s, t in zip(split, texts)]))
-        get = self.of_part.__getitem__
-        return [next(heads) + b"".join(map(get, s[1:])) if s else next(heads) for s in split]
+        return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, parts: list[bytes], between: str, leads: np.ndarray) -> list[bytes]:
+        """Ids of parts encoded as one text, in which the ids in ``leads`` begin a new part."""
+        found = []
+        joined = [between.join([p.decode() for p in parts[i : i + JOINED]]) for i in range(0, len(parts), JOINED)]
+        for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+            packed = _packed(e.ids)
+            cuts = (4 * np.flatnonzero(leads[np.frombuffer(packed, np.uint32)])).tolist()
+            if between:
+                found += [packed[a:b] for a, b in zip([0, *[x + 4 for x in cuts]], [*cuts, len(packed)])]
+            else:
+                found += [packed[a:b] for a, b in zip(cuts, [*cuts[1:], len(packed)])]
+        return found
+
+    def _table(self, lead: int, words: list[bytes]) -> list[bytes]:
+        """Ids of parts after a space, after a line end (with its id) or at a text's start."""
+        parts = [b" " + w for w in words] if lead == 32 else words
+        memo, past = self.memo, self.past
+        new = [p for p in parts if p not in memo]
+        again = [p for p in new if p in past]
+        memo.update([(p, past[p]) for p in again])
+        new = [p for p in new if p not in memo]
+        memo.update(zip(new, self._joined(new, "", self.spaced) if lead == 32 else self._joined(new, "\n", self.line_ends), strict=True))
+        found = list(map(memo.__getitem__, parts))
+        return [self.line_end + x for x in found] if lead == 10 else found
+
+    def _cut(self, text: str) -> bytes | None:
+        """The text in UTF-8 if it may be cut at spaces and line ends."""
+        if not self.memoized or not text or text[0] in " \n" or text[-1] in " \n" or any(s in text for s in UNCUT) or any(s in text for s in self.special):
+            return None
+        data = text.encode()
+        rest = data.translate(None, STABLE_ASCII)
+        return None if rest and self.unstable(rest.decode()) else data
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text as unsigned 32-bit integers."""
+        if len(self.memo) > MEMO_ENTRIES:
+            self.memo, self.past = {}, self.memo
+        cut = [self._cut(t) for t in texts]
+        ids = iter(look_up([x for x in cut if x is not None], b" \n", self._table))
+        rest = iter(self._whole([t for t, x in zip(texts, cut) if x is None]))
+        return [next(ids) if x is not None else np.frombuffer(next(rest), "<u4") for x in cut]
 
 
 def _some(rows: Iterable[tuple], chars: int) -> Iterator[list[tuple]]:
@@ -192,19 +231,21 @@ def _writer(tokenizer: str, folder: str, end_id: int):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        gc.freeze()
+        gc.disable()  # the memos hold millions of strings and no cycles
         encoder = worker_store(f"dac:{tokenizer}", lambda: Encoder(tokenizer))
         task = TaskContext.get()
         fs, root = pafs.FileSystem.from_uri(folder)
-        end, made = np.array([end_id], "<u4").tobytes(), 0
+        end, made = np.array([end_id], np.uint32), 0
         doc_ids: list[int | None] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal made
             name = f"part-{task.partitionId():06d}-{made:05d}-{task.taskAttemptId()}.dac"
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate([x for own in held for x in (own, end)])
             with fs.open_output_stream(f"{root}/{name}") as out:
-                out.write(file_bytes(doc_ids, [len(x) // 4 for x in held], ids))
+                out.write(file_bytes(doc_ids, [len(x) + 1 for x in held], ids))
             made += 1
             row = [task.partitionId(), made - 1, f"{folder}/{name}", len(doc_ids), len(ids)]
             doc_ids.clear()
@@ -216,8 +257,8 @@ def _writer(tokenizer: str, folder: str, end_id: int):
         for some in _some(rows, ENCODE_CHARS):
             for (doc_id, _), ids in zip(some, encoder.encode([t for _, t in some])):
                 doc_ids.append(doc_id)
-                held.append(ids + end)
-                n += len(held[-1]) // 4
+                held.append(ids)
+                n += len(ids) + 1
                 if n >= SEGMENT_TOKENS:
                     yield flush()
                     n = 0
@@ -258,7 +299,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_documents(manifest: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files."""
-    files = manifest.select("path", "base").repartition("path")
+    files = manifest.select("path", "base").repartition(min(max(manifest.count(), 1), MAX_READERS))
     return files.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
