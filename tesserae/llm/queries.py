@@ -11,6 +11,7 @@ from .dac import token_files
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .quality_rules import apply_policy, ledger
+from .sentencepiece_lattice import encode_digests
 from .simhash import near_duplicates
 from .toxicity import severity, train
 
@@ -41,6 +42,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -51,5 +56,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_token_files": op5_token_files,
     "op6_simhash": op6_simhash,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
 }
