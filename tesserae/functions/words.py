@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
@@ -14,6 +16,15 @@ _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x16
 EXACT_BYTES = 16
 
 
+def byte_runs(texts: pa.Array, limit: int) -> list[tuple[int, int]]:
+    """Consecutive slices of an array of texts of about ``limit`` bytes each."""
+    if not len(texts):
+        return []
+    of = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // limit
+    cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(texts)]
+    return list(zip(cuts, cuts[1:]))
+
+
 def spans(data: bytes, separators: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of all parts between separator bytes, empty ones included."""
     table = np.zeros(256, bool)
