@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.words import distinct, look_up, spans
+from ..functions.words import byte_runs, distinct, look_up, spans
 from ..functions.worker import worker_store
 from ..sources.scratch import materialize, scratch_path
 
@@ -39,11 +39,11 @@ MARKS = ".,"
 MAX_UNIT = 61
 #: At most so many units' paths are given to each worker (about 30 bytes each): the most
 #: frequent ones.  Rarer ones are merged where they occur.
-MAX_SHIPPED = 1 << 21
+MAX_SHIPPED = 1 << 20
 #: A worker's memo of looked-up parts and a task's counts are emptied at this many.
 MEMO_PARTS = 400_000
-#: Texts are taken together up to about so many characters.
-CHUNK_CHARS = 8_000_000
+#: Texts are taken together up to about so many bytes.
+CHUNK_CHARS = 2_000_000
 SEED = 42
 
 
@@ -136,13 +136,11 @@ def _odd_units(text: str, table: PieceTable) -> list[str]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int, with_keys: bool = False) -> Iterator:
-    """Texts (null as empty) in lists of about CHUNK_CHARS characters, with their first column."""
+    """Texts (null as empty) in lists of about CHUNK_CHARS bytes, with their first column."""
     for batch in batches:
-        texts = [t.as_py() or "" for t in batch.column(column)]
-        ends = np.cumsum([len(t) for t in texts]) // CHUNK_CHARS if texts else np.zeros(0, int)
-        for at in np.unique(ends).tolist():
-            a, b = int(np.searchsorted(ends, at)), int(np.searchsorted(ends, at, "right"))
-            yield (batch.column(0).slice(a, b - a), texts[a:b]) if with_keys else texts[a:b]
+        for a, b in byte_runs(batch.column(column), CHUNK_CHARS):
+            texts = [t.as_py() or "" for t in batch.column(column).slice(a, b - a)]
+            yield (batch.column(0).slice(a, b - a), texts) if with_keys else texts
 
 
 def _table(path: str) -> PieceTable:
