@@ -47,3 +47,17 @@ def drop_ids(rows: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
     of_row = bloom_address(F.col(f"row.{id_col}").cast("long"), words)
     probed = packed.withColumns({"word_id": of_row[0], "mask": of_row[1]}).join(filter_, "word_id", "left").withColumn("maybe", bloom_hit()).select("row", "maybe")
     return probed.filter(~F.col("maybe")).select("row.*").unionByName(exact(probed.filter("maybe").select("row")).select("row.*"))
+
+
+def likely_ids(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """``rows`` whose id may be in ``ids`` (one long column): a Bloom filter where that is small
+    enough to broadcast, else all rows.  It saves a join's shuffle, which must follow."""
+    known = materialize(ids.select(F.col(ids.columns[0]).cast("long").alias("_id")).filter("_id IS NOT NULL").distinct(), "wanted")
+    words = max(known.count(), 64)
+    if words > BROADCAST_WORDS:
+        return rows
+    word, mask = bloom_address(F.col("_id"), words)
+    filter_ = F.broadcast(bloom_words(known.select(word, mask)))
+    of_row = bloom_address(F.col(id_col).cast("long"), words)
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), of_row[0], of_row[1])
+    return packed.join(filter_, "word_id").filter(bloom_hit()).select("row.*")
