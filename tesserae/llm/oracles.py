@@ -39,6 +39,40 @@ ORACLES: dict[str, str] = {
                NOT (r0 OR r1 OR r2 OR r3 OR r4 OR r5 OR r6) AS kept
         FROM f
     """,
+    "op3_url_filters": r"""
+        WITH p AS (
+            SELECT row_number() OVER () AS rid, page_id, TIMESTAMP '2024-01-01' + to_hours((page_id % 8760)::INT) AS fetched_at,
+                   lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host,
+                   list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)?', 1), '/'), lambda x: x <> '') AS seg
+            FROM pages
+        ), hk AS (
+            SELECT rid, host, seg, string_split(host, '.') AS lab FROM p WHERE host <> ''
+        ), k AS (
+            SELECT rid, array_to_string(lab[len(lab) - n + 1:], '.') AS key, n AS rank
+            FROM (SELECT rid, lab, unnest(range(2, len(lab) + 1)) AS n FROM hk WHERE len(lab) >= 2)
+            UNION ALL SELECT rid, host, 1 FROM hk WHERE len(lab) < 2
+            UNION ALL SELECT rid, host || '/' || array_to_string(seg[1:n], '/'), 1000 + n
+            FROM (SELECT rid, host, seg, unnest(range(1, least(len(seg), 2) + 1)) AS n FROM hk)
+        ), d AS (
+            SELECT DISTINCT key, rank, ('0x' || substr(md5(key), 1, 6))::BIGINT AS h FROM k
+        ), t AS (
+            SELECT key, rank, h, TIMESTAMP '2024-01-01' + to_days((h % 300)::INT) AS since FROM d
+        ), ev AS (
+            SELECT key, 2 AS a, since FROM t WHERE h % 7 = 0
+            UNION ALL SELECT key, 3, since + to_days(60) FROM t WHERE h % 14 = 0
+            UNION ALL SELECT key, 1, since FROM t WHERE rank > 1000 AND h % 5 = 0
+        ), one AS (
+            SELECT key, since, min(a) AS a FROM ev GROUP BY key, since
+        ), val AS (
+            SELECT key, since, a, lead(since) OVER (PARTITION BY key ORDER BY since) AS until FROM one
+        ), hit AS (
+            SELECT k.rid, k.rank, k.key, val.since, CASE val.a WHEN 1 THEN 'allow' ELSE 'block' END AS verdict,
+                   row_number() OVER (PARTITION BY k.rid ORDER BY k.rank DESC, k.key DESC) AS rn
+            FROM k JOIN p USING (rid) JOIN val ON val.key = k.key AND val.a < 3 AND val.since <= p.fetched_at AND (val.until IS NULL OR p.fetched_at < val.until)
+        )
+        SELECT page_id, fetched_at, coalesce(verdict, 'pass') AS verdict, key AS matched, since AS listed_since
+        FROM p LEFT JOIN (SELECT * FROM hit WHERE rn = 1) USING (rid)
+    """,
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
