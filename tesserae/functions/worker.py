@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
+
 
 def worker_store(name: str, make: Callable[[], Any]) -> Any:
     """The object called ``name`` of this process, made on first use.
@@ -18,3 +22,13 @@ def worker_store(name: str, make: Callable[[], Any]) -> Any:
     if name not in kept:
         kept[name] = make()
     return kept[name]
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system, as a worker outlives its task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass  # another C library
