@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from ..thresholds import DEFAULT, Thresholds
 from .lets import let
@@ -95,7 +96,7 @@ def offsets(text: Column, chunks: Column) -> Column:
     return F.aggregate(chunks, F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at")), step, lambda acc: acc["starts"])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def sequence_ratio(new: pd.Series, old: pd.Series) -> pd.Series:
     """difflib's ratio of (new, old), in this order; null gives null."""
     return pd.Series([None if a is None or b is None else difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(new, old)], dtype="float64")
