@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.words import byte_runs, distinct, look_up, spans
-from ..functions.worker import worker_store
+from ..functions.worker import release_memory, worker_store
 from ..sources.scratch import materialize, scratch_path
 
 SPACE = "▁"
@@ -41,9 +41,9 @@ MAX_UNIT = 61
 #: frequent ones.  Rarer ones are merged where they occur.
 MAX_SHIPPED = 1 << 20
 #: A worker's memo of looked-up parts and a task's counts are emptied at this many.
-MEMO_PARTS = 400_000
+MEMO_PARTS = 200_000
 #: Texts are taken together up to about so many bytes.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 SEED = 42
 
 
@@ -186,6 +186,7 @@ def _count_units(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             if len(parts) + len(odd) > MEMO_PARTS:
                 yield from flush()
         yield from flush()
+        release_memory()
 
     return count
 
@@ -324,6 +325,7 @@ def _encode_rows(model: str, dictionary: str, whole: bool) -> Callable[[Iterator
                 yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(offsets, pa.array(flat)), size, same], ["doc_id", "ids", "n_ids", "round_trip"])
             else:
                 yield pa.RecordBatch.from_arrays([keys, size, pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), same], ["doc_id", "n_ids", "ids_crc32", "round_trip"])
+        release_memory()
 
     return encode
 
