@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     of = lambda y: known.filter(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_PER_LABEL)
     sample = F.broadcast(of(0).unionByName(of(1)))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(sample, "_id")
-    told = texts.select("_id", "text", "y").coalesce(1).mapInArrow(_fit_sample, "model string").collect()
+    told = texts.select("_id", "text", "y").repartition(1).mapInArrow(_fit_sample, "model string").collect()
     return OrdinalModel.from_json(told[0]["model"]) if told else OrdinalModel({}, tuple(float(9 + k) for k in range(GRADES)))
 
 
