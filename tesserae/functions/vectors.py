@@ -59,7 +59,8 @@ def neighbours(queries: DataFrame, refs: DataFrame, k: int, same_group: bool = T
         mine = F.pmod(F.xxhash64("id"), F.lit(own)).cast("int")
         dealt = rows.filter(valid(F.col("vec"))).select("id", "grp", "vec", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("other"))
         qb, rb = ("mine", "other") if is_query else ("other", "mine")
-        return dealt.select("id", "grp", "vec", F.col(qb).alias("qb"), F.col(rb).alias("rb"))
+        # New column ids, as both sides may come from one table.
+        return dealt.select(F.col("id").alias("id"), F.col("grp").alias("grp"), F.col("vec").alias("vec"), F.col(qb).alias("qb"), F.col(rb).alias("rb"))
 
     def cell(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = {"q_id": [], "r_id": [], "similarity": []}

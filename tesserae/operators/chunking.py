@@ -95,3 +95,45 @@ def shared_word_pairs(rows: DataFrame, least: float) -> DataFrame:
     candidates = a.join(b, "w").filter(near).select("id_a", "id_b").distinct()
     full = candidates.join(sets.select(F.col("id").alias("id_a"), F.col("ws").alias("wa")), "id_a").join(sets.select(F.col("id").alias("id_b"), F.col("ws").alias("wb")), "id_b")
     return full.select("id_a", "id_b", F.round(jaccard(F.col("wa"), F.col("wb")), 6).alias("jaccard")).filter(F.col("jaccard") >= least)
+
+
+def missing_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Chunks of the old version whose text the new one lacks, per document ``key``, shortened."""
+    gone = old.join(new.select("key", "chunk_hash"), ["key", "chunk_hash"], "left_anti")
+    return gone.select("key", "chunk_id", F.substring("chunk_text", 1, 200).alias("excerpt"))
+
+
+def word_difference(pairs: DataFrame) -> DataFrame:
+    """``key, words_a, words_b, percent``: how much the word counts of two texts differ."""
+    count = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != "")).cast("long")
+    counted = pairs.select("key", count(F.col("a")).alias("words_a"), count(F.col("b")).alias("words_b"))
+    most = F.greatest("words_a", "words_b")
+    return counted.withColumn("percent", F.when(most > 0, F.round(100 * F.abs(F.col("words_a") - F.col("words_b")) / most, 4)).otherwise(F.lit(0.0)))
+
+
+def decide_pairs(pairs: DataFrame, model: Callable[[Column, Column], Column], t: Thresholds = DEFAULT) -> DataFrame:
+    """Decision over ``new_text, old_text, similarity``: keep the old of duplicates, the new of
+    unlike texts; in between the model decides, and what it leaves open keeps the new one."""
+    asked = pairs.withColumn("_m", F.when((F.col("similarity") >= t.text_review) & (F.col("similarity") < t.text_duplicate), model(F.col("new_text"), F.col("old_text"))))
+    told = F.when(F.col("_m.decision").isin("keep_old", "keep_new"), F.col("_m.decision")).otherwise("keep_new")
+    decision = F.when(F.col("similarity") >= t.text_duplicate, "keep_old").when(F.col("similarity") >= t.text_review, told).otherwise("keep_new")
+    return asked.withColumn("decision", decision).drop("_m")
+
+
+def overlap_fallback(docs: DataFrame, chunks: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """Documents against other documents' chunks by character ratio, where no vector decides.
+
+    ``document_id, other_id, fraction``: the share of the other document's chunks whose ratio
+    to the whole text is ``chunk_ratio`` or more, from ``chunk_fraction`` on.  Lengths prune
+    exactly; candidates must also share one of the chunk's five rarest words.
+    """
+    rarest = chunks.select("document_id", "chunk_id", "chunk_text", F.explode(word_set(F.col("chunk_text"))).alias("w"))
+    frequency = rarest.groupBy("w").agg(F.count(F.lit(1)).alias("f"))
+    index = rarest.join(frequency, "w").groupBy("document_id", "chunk_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("f", "w"))), 1, 5).alias("ws"), F.first("chunk_text").alias("chunk_text"))
+    index = index.select(F.col("document_id").alias("other_id"), "chunk_id", "chunk_text", F.explode(F.transform("ws", lambda x: x["w"])).alias("w"))
+    words = docs.select("document_id", F.length("text").alias("n"), F.explode(word_set(F.col("text"))).alias("w"))
+    near = words.join(index, "w").filter((F.col("document_id") != F.col("other_id")) & (7 * F.col("n") <= 13 * F.length("chunk_text"))).select("document_id", "other_id", "chunk_id").distinct()
+    texts = near.join(docs.select("document_id", "text"), "document_id").join(chunks.select("chunk_id", "chunk_text"), "chunk_id")
+    hits = texts.filter(sequence_ratio("text", "chunk_text") >= t.chunk_ratio).groupBy("document_id", "other_id").agg(F.count(F.lit(1)).alias("hits"))
+    totals = chunks.groupBy(F.col("document_id").alias("_id")).agg(F.count(F.lit(1)).alias("total"))
+    return hits.join(totals, F.col("other_id") == F.col("_id")).select("document_id", "other_id", F.round(F.col("hits") / F.col("total"), 6).alias("fraction")).filter(F.col("fraction") >= t.chunk_fraction)

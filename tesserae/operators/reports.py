@@ -74,3 +74,42 @@ def mismatches(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     joined = expected.alias("e").join(actual.alias("a"), key)
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"e.{c}").cast("string").alias("expected"), F.col(f"a.{c}").cast("string").alias("actual")) for c in columns])
     return joined.select(key, F.inline(pairs)).filter("expected IS NOT NULL AND NOT (expected <=> actual)")
+
+
+def upsert_usage(ledger: DataFrame, calls: DataFrame) -> DataFrame:
+    """The daily ledger with new calls added: one row per day and model."""
+    return usage_per_day(ledger.select("date", "model", "input_tokens", "output_tokens").unionByName(calls.select("date", "model", "input_tokens", "output_tokens")))
+
+
+#: The log's summary lines by kind, the first that matches counts.
+LOG_COUNTS = {
+    "new": [r"New unique chunks: (\d+)", r"(\d+) new chunks"],
+    "duplicate": [r"Exact duplicates found: (\d+)", r"(\d+) duplicate chunks"],
+    "similar": [r"Similar chunks found: (\d+)", r"(\d+) similar chunks"],
+    "updated": [r"(\d+) updated chunks"],
+}
+
+
+def log_counts(sections: DataFrame) -> DataFrame:
+    """Chunk counts per kind from section texts ``section, text``; null where no pattern matches."""
+    first = lambda patterns: F.coalesce(*[F.expr(f"try_cast(nullif(regexp_extract(text, r'{p}', 1), '') AS bigint)") for p in patterns])
+    return sections.select("section", *[first(p).alias(kind) for kind, p in LOG_COUNTS.items()])
+
+
+def capability_summary(counted: DataFrame) -> DataFrame:
+    """Whether any section has each kind of chunk."""
+    return counted.agg(*[F.coalesce(F.bool_or(F.col(k) > 0), F.lit(False)).alias(f"any_{k}") for k in LOG_COUNTS])
+
+
+def chunk_summaries(chunks: DataFrame) -> DataFrame:
+    """One line per chunk: id, document, and its first 150 characters."""
+    return chunks.select("chunk_id", F.concat_ws(" | ", "chunk_id", F.col("document_id").cast("string"), F.substring("chunk_text", 1, 150)).alias("line"))
+
+
+def html_table(df: DataFrame, title: str, limit: int = 1000) -> str:
+    """A report page of an aggregated result; a report shows up to ``limit`` rows."""
+    from html import escape
+
+    cells = lambda row, tag: "".join(f"<{tag}>{escape('' if x is None else str(x))}</{tag}>" for x in row)
+    body = "".join(f"<tr>{cells(r, 'td')}</tr>" for r in df.limit(limit).collect())
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><table><tr>{cells(df.columns, 'th')}</tr>{body}</table></body></html>"

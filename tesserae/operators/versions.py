@@ -78,3 +78,40 @@ def classify_requirements(new: DataFrame, stored: DataFrame, t: Thresholds = DEF
     return joined.select("requirement_id", F.col("r_id").alias("nearest_id"), "similarity", F.coalesce(flag, F.lit(False)).alias("is_duplicate"), F.when(flag, F.col("r_id")).alias("duplicate_of"), F.coalesce((F.col("similarity") >= t.requirement_duplicate) & (F.col("similarity") < t.requirement_certain), F.lit(False)).alias("needs_check"))
 
 
+
+
+def nearest_page_documents(pages: DataFrame, size: int, t: Thresholds = DEFAULT) -> DataFrame:
+    """A document's vector against all pages of other documents: the document of the nearest page."""
+    docs = document_vectors(pages, size).select(F.col("document").cast("long").alias("id"), F.col("document").alias("grp"), "vec")
+    tagged = pages.select((F.col("id") + F.lit(1 << 40)).alias("id"), "grp", "vec")
+    best = neighbours(docs, tagged, 1, same_group=False)
+    owner = pages.select((F.col("id") + F.lit(1 << 40)).alias("_id"), F.col("grp").alias("best_document"))
+    return best.join(owner, F.col("r_id") == F.col("_id")).select(F.col("q_id").alias("document"), "best_document", "similarity", (F.col("similarity") >= t.vector_similar).alias("is_similar"))
+
+
+def page_outcomes(classified: DataFrame) -> DataFrame:
+    """Counters and verdict per document of pages ``grp, status``."""
+    of = lambda *s: F.sum(F.when(F.col("status").isin(*s), 1).otherwise(0)).cast("long")
+    counted = classified.groupBy("grp").agg(F.count(F.lit(1)).alias("total"), of("duplicate").alias("duplicate"), of("similar", "update").alias("updated"), of("new").alias("new"))
+    verdict = F.when(F.col("updated") > 0, "new version").when(F.col("duplicate") == F.col("total"), "complete duplicate").when(F.col("duplicate") > 0, "partial duplicate").otherwise("completely new")
+    return counted.withColumn("verdict", verdict)
+
+
+def classify_chunks(new: DataFrame, stored: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """Chunks ``id, grp, hash, vec``: an equal hash is a duplicate of the first such chunk, else the
+    nearest vector's band decides; a chunk without a valid vector is new."""
+    first = stored.groupBy(F.col("hash").alias("_hash")).agg(F.min("id").alias("same"))
+    hashed = new.join(first, F.col("hash") == F.col("_hash"), "left")
+    near = neighbours(hashed.filter("same IS NULL").select("id", "grp", "vec"), stored.select("id", "grp", "vec"), 1).select(F.col("q_id").alias("_q"), "r_id", "similarity")
+    joined = hashed.join(near, F.col("id") == F.col("_q"), "left")
+    by_vector = F.when(F.col("similarity") >= t.vector_duplicate, "duplicate").when(F.col("similarity") >= t.vector_similar, "update").otherwise("new")
+    status = F.when(F.col("same").isNotNull(), "duplicate").otherwise(F.coalesce(by_vector, F.lit("new")))
+    return joined.select("id", status.alias("status"), F.coalesce("same", "r_id").alias("match_id"), F.when(F.col("same").isNotNull(), F.lit(1.0)).otherwise(F.col("similarity")).alias("similarity"))
+
+
+def update_status(matches: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """Status of matches ``document, page, ts, match_document, match_page, match_ts, similarity``: the
+    same page is an update if it is newer, else a duplicate; another page is one by similarity."""
+    same = (F.col("document") == F.col("match_document")) & (F.col("page") == F.col("match_page"))
+    status = F.when(same & (F.col("ts") > F.col("match_ts")), "update").when(same | (F.col("similarity") >= t.vector_duplicate), "duplicate").otherwise("new")
+    return matches.withColumn("status", F.coalesce(status, F.lit("new")))

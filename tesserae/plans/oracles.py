@@ -179,4 +179,45 @@ ORACLES: dict[str, str] = {
                repeat('#', length(text) % 10) || repeat('.', 10 - length(text) % 10) AS bar, substr(text, 101, 200) AS slice
         FROM documents""",
     "stream_hash_dedup": "SELECT DISTINCT md5(text) AS md5, sha256(text) AS sha256, strlen(text)::BIGINT AS size FROM documents",
+    "doc_max_cosine": f"""
+        WITH {_UNITS}, p AS (SELECT vec_id, label::BIGINT AS l, embedding::DOUBLE[] AS v FROM embeddings),
+        n AS (SELECT m.document, p.l AS best_document, round(list_cosine_similarity(m.v, p.v), 6) AS similarity, p.vec_id FROM means m JOIN p ON m.document <> p.l)
+        SELECT document, best_document, similarity, similarity >= 0.40 AS is_similar FROM (SELECT *, row_number() OVER (PARTITION BY document ORDER BY similarity DESC, vec_id) AS k FROM n) WHERE k = 1""",
+    "page_outcomes": f"""
+        WITH {_KNN}, s AS (SELECT ql::BIGINT AS grp, {_BAND} AS status FROM ranked WHERE rank = 1),
+        c AS (SELECT grp, count(*) AS total, sum((status = 'duplicate')::INT)::BIGINT AS duplicate, sum((status = 'similar')::INT)::BIGINT AS updated, sum((status = 'new')::INT)::BIGINT AS new FROM s GROUP BY 1)
+        SELECT *, CASE WHEN updated > 0 THEN 'new version' WHEN duplicate = total THEN 'complete duplicate' WHEN duplicate > 0 THEN 'partial duplicate' ELSE 'completely new' END AS verdict FROM c""",
+    "chunk_classify_vector": f"""
+        WITH {_KNN}, q AS (SELECT vec_id AS id, vec_id // 10 AS h FROM embeddings WHERE vec_id % 4 = 1),
+        st AS (SELECT vec_id AS id, vec_id // 10 AS h FROM embeddings WHERE vec_id % 4 = 0 AND vec_id % 3 = 0),
+        f AS (SELECT h, min(id) AS same FROM st GROUP BY 1),
+        v AS (SELECT q_id, r_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, r_id) AS k FROM near WHERE r_id % 4 = 0 AND r_id % 3 = 0) WHERE k = 1)
+        SELECT q.id, CASE WHEN same IS NOT NULL OR similarity >= 0.48 THEN 'duplicate' WHEN similarity >= 0.40 THEN 'update' ELSE 'new' END AS status, coalesce(same, r_id) AS match_id,
+               CASE WHEN same IS NOT NULL THEN 1.0::DOUBLE ELSE similarity END AS similarity
+        FROM q LEFT JOIN f USING (h) LEFT JOIN v ON q.id = v.q_id""",
+    "page_update_status": f"""
+        WITH {_KNN} SELECT q_id, CASE WHEN q_id % 7 = r_id % 7 AND q_id // 100 = r_id // 100 THEN CASE WHEN q_id > r_id THEN 'update' ELSE 'duplicate' END
+            WHEN similarity >= 0.48 THEN 'duplicate' ELSE 'new' END AS status FROM ranked WHERE rank = 1""",
+    "orphan_candidates": f"WITH {_LINEAGE} SELECT chunk_id, document_id FROM lin WHERE duplicate_of IS NULL AND aligned_with_document_id = ''",
+    "missing_chunks": f"""
+        WITH {_CHUNKS}, k AS (SELECT *, CASE WHEN document_id % 2 = 0 THEN document_id % 10 ELSE (document_id % 10 - 1) END AS key FROM chunks)
+        SELECT key, chunk_id, substr(chunk_text, 1, 200) AS excerpt FROM k a WHERE document_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM k b WHERE b.document_id % 2 = 1 AND b.key = a.key AND b.chunk_hash = a.chunk_hash)""",
+    "word_count_difference": r"""
+        WITH c AS (SELECT doc_id AS key, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))::BIGINT AS words_a, len(list_filter(string_split_regex(regexp_replace(text, '^[^\n]*\n?', ''), '\s+'), lambda w: w <> ''))::BIGINT AS words_b FROM documents)
+        SELECT *, CASE WHEN greatest(words_a, words_b) > 0 THEN round(100 * abs(words_a - words_b) / greatest(words_a, words_b), 4) ELSE 0 END::DOUBLE AS percent FROM c""",
+    "required_files": "SELECT n_nationkey AS name FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9900",
+    "requirement_batches": "SELECT source AS document_id, doc_id AS requirement_id, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 3)::BIGINT AS batch FROM documents",
+    "requirement_id_offset": """
+        SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lpad((doc_id + 5)::VARCHAR, greatest(3, length((doc_id + 5)::VARCHAR))::INT, '0') ELSE 'R' || doc_id || '-5' END AS requirement_id FROM documents""",
+    "title_inputs": """
+        SELECT conv_id AS document_id, string_agg(substr(text, 1, 100), chr(10) ORDER BY turn) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n <= 3 GROUP BY 1""",
+    "combined_json": "SELECT conv_id AS document_id, turn AS page_number, md5(text) AS hash FROM conversations",
+    "chunk_summaries": f"WITH {_CHUNKS} SELECT chunk_id, chunk_id || ' | ' || document_id || ' | ' || substr(chunk_text, 1, 150) AS line FROM chunks",
+    "usage_upsert": f"""
+        WITH {_CALLS}, u AS (SELECT date, model, i, o FROM calls WHERE date < DATE '2024-01-16' UNION ALL SELECT date, model, i, o FROM calls WHERE date >= DATE '2024-01-10')
+        SELECT date, model, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, (sum(i) + sum(o))::BIGINT AS total_tokens FROM u GROUP BY 1, 2""",
+    "log_counts": """
+        SELECT event_id AS section, CASE WHEN event_id % 3 = 0 THEN user_id END AS "new", CASE WHEN event_id % 3 = 1 THEN user_id END AS duplicate, NULL::BIGINT AS "similar", NULL::BIGINT AS updated FROM events""",
+    "capability_summary": "SELECT bool_or(event_id % 3 = 0 AND user_id > 0) AS any_new, bool_or(event_id % 3 = 1 AND user_id > 0) AS any_duplicate, false AS any_similar, false AS any_updated FROM events",
+    "pages_per_document": "SELECT conv_id AS document_id, count(*) AS pages, count(DISTINCT role) AS roles FROM conversations GROUP BY 1",
 }

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.diff import diff_lines
+from ..functions.models import decide_pair
 from ..functions.vectors import neighbours
 from ..operators import chunking, ingest, lineage, reports, requirements, versions
 from ..streaming.hash_ingest import ingest_available
@@ -202,14 +203,14 @@ def _paired(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query
 def text_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     new, old = _paired(spark, sf_dir)
-    pairs = chunking.similar_pairs(new.filter("seq < 3"), old.filter("seq < 3"), "document_id")
+    pairs = chunking.similar_pairs(new, old, "document_id")
     return pairs.select("document_id", "new_id", "old_id", F.round("ratio", 6).alias("ratio"), F.round("words", 6).alias("words"), F.round("similarity", 6).alias("similarity"))
 
 
 @query
 def chunk_align_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     new, old = _paired(spark, sf_dir)
-    return chunking.align_first_match(new.filter("seq < 3"), old.filter("seq < 3"), "document_id")
+    return chunking.align_first_match(new, old, "document_id")
 
 
 def _lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,7 +350,7 @@ def latest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def extract_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = requirements.extract(sentence_chunks(spark, sf_dir).filter("chunk_index < 2"))
+    found = requirements.extract(sentence_chunks(spark, sf_dir))
     return requirements.with_software_flag(found).select("requirement_id", "source_chunk_id", F.md5("description").alias("hash"), "is_software_related", "software_confidence")
 
 
@@ -373,3 +374,120 @@ def stream_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "documents").select("doc_id", "text").write.parquet(f"{folder}/source")
     ledger = ingest_available(spark, f"{folder}/source", "doc_id long, text string", f"{folder}/ledger", f"{folder}/checkpoint", lambda b: b.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content")))
     return ledger.select("md5", "sha256", "size")
+
+
+@query
+def doc_max_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.nearest_page_documents(pages(spark, sf_dir), DIMENSIONS, SCALED)
+
+
+@query
+def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pages(spark, sf_dir)
+    return versions.page_outcomes(versions.classify_pages(p, SCALED).join(p.select("id", "grp"), "id"))
+
+
+@query
+def chunk_classify_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pages(spark, sf_dir).withColumn("hash", F.md5(F.floor(F.col("id") / 10).cast("string")))
+    return versions.classify_chunks(p.filter("id % 4 = 1"), p.filter("id % 4 = 0 AND id % 3 = 0"), SCALED)
+
+
+@query
+def page_update_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pages(spark, sf_dir)
+    near = neighbours(p, p, 1).select("q_id", "r_id", "similarity")
+    at = lambda c: (F.col(c) % 7, F.floor(F.col(c) / 100), F.col(c))
+    (d, g, t), (md, mg, mt) = at("q_id"), at("r_id")
+    rows = near.select("q_id", d.alias("document"), g.alias("page"), t.alias("ts"), md.alias("match_document"), mg.alias("match_page"), mt.alias("match_ts"), "similarity")
+    return versions.update_status(rows, SCALED).select("q_id", "status")
+
+
+@query
+def orphan_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.orphans(_lineage(spark, sf_dir)).select("chunk_id", "document_id")
+
+
+@query
+def missing_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sentence_chunks(spark, sf_dir).withColumn("key", F.col("document_id") % 10)
+    return chunking.missing_chunks(rows.filter("document_id % 2 = 0"), rows.filter("document_id % 2 = 1").withColumn("key", F.pmod(F.col("key") - 1, F.lit(10))))
+
+
+@query
+def word_count_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.word_difference(documents(spark, sf_dir).select(F.col("document_id").alias("key"), F.col("text").alias("a"), F.regexp_replace("text", r"^[^\n]*\n?", "").alias("b")))
+
+
+@query
+def pair_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new, old = _paired(spark, sf_dir)
+    pairs = chunking.similar_pairs(new, old, "document_id")
+    return chunking.decide_pairs(pairs, decide_pair).select("new_id", "old_id", F.round("similarity", 6).alias("similarity"), "decision")
+
+
+@query
+def overlap_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.overlap_fallback(documents(spark, sf_dir), sentence_chunks(spark, sf_dir))
+
+
+@query
+def required_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = lambda n: table(spark, sf_dir, n)
+    return ingest.missing_files(name("nation").select(F.col("n_nationkey").alias("name")), name("customer").filter("c_acctbal > 9900").select(F.col("c_nationkey").alias("name")))
+
+
+@query
+def requirement_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("requirement_id"))
+    return requirements.verification_batches(rows)
+
+
+@query
+def requirement_id_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lpad(F.col("doc_id").cast("string"), 3, "0")).otherwise(F.concat(F.lit("R"), F.col("doc_id").cast("string"))).alias("requirement_id"))
+    return requirements.offset_ids(rows, 5)
+
+
+@query
+def title_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page_number"), F.col("text").alias("content"))
+    return ingest.title_inputs(turns, 3, 100)
+
+
+@query
+def combined_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as one object each, read again from it."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page_number"), F.col("text").alias("content"))
+    return ingest.read_pages_json(ingest.combined_json(turns)).select("document_id", F.col("page_number").cast("long").alias("page_number"), F.md5("content").alias("hash"))
+
+
+@query
+def chunk_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.chunk_summaries(sentence_chunks(spark, sf_dir))
+
+
+@query
+def usage_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = _calls(spark, sf_dir)
+    return reports.upsert_usage(reports.usage_per_day(calls.filter("date < '2024-01-16'")), calls.filter("date >= '2024-01-10'"))
+
+
+def _log_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("New unique chunks: "), F.col("user_id").cast("string"))).when(F.col("event_id") % 3 == 1, F.concat(F.col("user_id").cast("string"), F.lit(" duplicate chunks"))).otherwise(F.lit("nothing"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("section"), kind.alias("text"))
+
+
+@query
+def log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.log_counts(_log_texts(spark, sf_dir))
+
+
+@query
+def capability_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.capability_summary(reports.log_counts(_log_texts(spark, sf_dir)))
+
+
+@query
+def pages_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("document_id")).agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("role").alias("roles"))

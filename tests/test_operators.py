@@ -190,3 +190,39 @@ def test_versions_of_a_table(spark):
     schema = StructType().add("id", "long").add("z", "string")
     assert tables.migrate(spark.range(1), schema, {"z": F.lit("d")}).first()["z"] == "d"
     assert lineage.verify_schema(spark.range(1).withColumn("q", F.lit(1)), schema) == {"missing": ["z"], "extra": ["q"]}
+
+
+def test_ingestion_stops_early_and_aligns_versions(spark):
+    from tesserae.plans.ingestion import Stage, run
+
+    root = scratch_path(spark, "tables")
+    files = lambda *rows: spark.createDataFrame(list(rows), "path string, content string")
+    rng = random.Random(9)
+    first = "The valve shall close within two seconds of the signal. " + " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) + "." * (k % 9 == 8) for k in range(200))
+    dry = run(files(("a", first)), root, stop_after=Stage.CHUNK, dry_run=True)
+    assert set(dry.made) == {"file_hashes", "documents", "document_chunks"} and tables.current_version(spark, f"{root}/documents") == ""
+    run(files(("a", first), ("b", first)), root)
+    assert tables.read_table(spark, f"{root}/file_hashes").count() == 1
+    again = run(files(("a", first)), root)
+    assert again.made["document_chunks"].count() == 0
+    changed = run(files(("a", first.replace("two seconds", "six seconds", 1))), root)
+    status = {r["status"] for r in changed.made["document_chunks"].collect()}
+    assert "updated" in status and "new" not in status
+    assert tables.read_table(spark, f"{root}/document_chunks").filter("document_id = 'a'").count() == changed.made["document_chunks"].count()
+
+
+def test_json_shapes(spark):
+    rows = [("l", '{"pages": [{"text": "x"}, null, {"md_content": "y", "page_number": 7}]}'), ("m", '{"pages": {"page_002": {"summary": "b"}, "page_001": {"content": "", "text": "a"}}}'), ("s", '{"document_title": "t", "md_content": "one"}'), ("n", None)]
+    found = {(r["document_id"], r["page_number"], r["content"]) for r in ingest.read_pages_json(spark.createDataFrame(rows, "document_id string, json string")).collect()}
+    assert found == {("l", 1, "x"), ("l", 7, "y"), ("m", 1, "a"), ("m", 2, "b"), ("s", 1, "one")}
+
+
+def test_stream_equals_batch(spark):
+    from tesserae.streaming.hash_ingest import ingest_available
+
+    folder = scratch_path(spark, "stream")
+    told = lambda b: b.select(F.col("path"), F.col("content"))
+    for k, rows in enumerate(([("a", "x"), ("b", "x"), ("c", "y")], [("d", "y"), ("e", "z")])):
+        spark.createDataFrame(rows, "path string, content string").write.mode("append").parquet(f"{folder}/in")
+        ledger = ingest_available(spark, f"{folder}/in", "path string, content string", f"{folder}/ledger", f"{folder}/cp", told)
+        assert sorted(r["path"] for r in ledger.collect()) == (["a", "c"] if k == 0 else ["a", "c", "e"])
