@@ -205,7 +205,7 @@ def test_ingestion_stops_early_and_aligns_versions(spark):
     assert tables.read_table(spark, f"{root}/file_hashes").count() == 1
     again = run(files(("a", first)), root)
     assert again.made["document_chunks"].count() == 0
-    changed = run(files(("a", first.replace("two seconds", "six seconds", 1))), root)
+    changed = run(files(("a", first.replace("two seconds of the signal", "ninety minutes of whatever other event was seen last", 1))), root)
     status = {r["status"] for r in changed.made["document_chunks"].collect()}
     assert "updated" in status and "new" not in status
     assert tables.read_table(spark, f"{root}/document_chunks").filter("document_id = 'a'").count() == changed.made["document_chunks"].count()
