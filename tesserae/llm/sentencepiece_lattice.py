@@ -263,6 +263,8 @@ class Dictionary:
         offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
         self.keys, self.first, self.end = keys[order], offsets[:-1][order].astype(np.int64), offsets[1:][order].astype(np.int64)
         self.values = values.astype("<u4").tobytes()
+        del rows, ids, keys, values, offsets
+        release_memory()
 
     def find(self, units: list[str]) -> list[bytes | None]:
         """Packed ids of each unit; None for one that isn't in the table."""
