@@ -49,7 +49,7 @@ def pack(parts: Column, limit: int, separator: str) -> Column:
     return F.aggregate(parts, empty, step, lambda acc: F.when(acc["held"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["held"]))))
 
 
-def _cut(text: Column, size: int) -> Column:
+def slices(text: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(size)), lambda i: F.substring(text, i, F.lit(size)))
 
 
@@ -61,7 +61,7 @@ def header_sections(text: Column, limit: int) -> Column:
 def paragraph_sections(text: Column, limit: int) -> Column:
     """Pack paragraphs; what is still too long is cut at half the limit."""
     packed = pack(F.split(text, "\n\n"), limit, "\n\n")
-    return F.flatten(F.transform(packed, lambda s: F.when(F.length(s) <= limit, F.array(s)).otherwise(_cut(s, limit // 2))))
+    return F.flatten(F.transform(packed, lambda s: F.when(F.length(s) <= limit, F.array(s)).otherwise(slices(s, limit // 2))))
 
 
 def split_sections(text: Column, limit: int = DEFAULT.max_section_chars) -> Column:

@@ -116,7 +116,7 @@ def split_by_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def slice_oversize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sections(documents(spark, sf_dir), lambda t: T._cut(t, 750))
+    return _sections(documents(spark, sf_dir), lambda t: T.slices(t, 750))
 
 
 @query
