@@ -77,14 +77,25 @@ def align_first_match(new: DataFrame, old: DataFrame, key: str, keep_new: Column
     return joined.select("chunk_id", F.coalesce("m.status", F.lit("new")).alias("status"), F.col("m.old_id").alias("matched_chunk_id"), F.col("m.similarity").alias("similarity"))
 
 
+def text_classes(rows: DataFrame) -> DataFrame:
+    """``id, class_id``: the smallest id of an equal text."""
+    hashed = rows.select("id", F.md5("text").alias("_hash"))
+    first = hashed.groupBy(F.col("_hash").alias("_of")).agg(F.min("id").alias("class_id"))
+    return hashed.join(first, F.col("_hash") == F.col("_of")).select("id", "class_id")
+
+
 def shared_word_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs of texts ``id, text`` with word Jaccard of ``least`` or more, id_a < id_b.
+    """Pairs of different texts ``id, text`` with word Jaccard of ``least`` or more, id_a < id_b.
+
+    Rows of equal text are one: the smallest id stands for them, and ``text_classes`` gives the
+    members, so that a large group of copies doesn't give all its pairs.
 
     An inverted index over each text's rarest words, a prefix that two similar sets must
     share: of a set of n words, n - ceil(least * n) + 1.  Words are ordered by frequency,
     so that frequent words are in no prefix unless a text has few others.
     """
-    sets = rows.select("id", word_set(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
+    own = rows.groupBy(F.md5("text").alias("_hash")).agg(F.min_by("text", "id").alias("text"), F.min("id").alias("id"))
+    sets = own.select("id", word_set(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
     words = sets.select("id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
     frequency = words.groupBy("w").agg(F.count(F.lit(1)).alias("f"))
     ranked = words.join(frequency, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("fw"), F.first("n").alias("n"))

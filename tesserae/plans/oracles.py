@@ -127,10 +127,11 @@ ORACLES: dict[str, str] = {
         f AS (SELECT *, similarity >= 0.45 OR (similarity >= 0.40 AND q_id % 3 = 0) AS dup FROM o WHERE n = 1)
         SELECT q_id AS requirement_id, r_id AS nearest_id, similarity, dup AS is_duplicate, CASE WHEN dup THEN r_id END AS duplicate_of, similarity >= 0.40 AND similarity < 0.45 AS needs_check FROM f""",
     "word_jaccard_pairs": r"""
-        WITH w AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS ws FROM documents),
+        WITH w AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS ws FROM (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text)),
         x AS (SELECT id, len(ws) AS n, unnest(ws) AS w FROM w),
         c AS (SELECT a.id AS id_a, b.id AS id_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM x a JOIN x b ON a.w = b.w AND a.id < b.id GROUP BY 1, 2)
         SELECT id_a, id_b, round(k / (na + nb - k), 6) AS jaccard FROM c WHERE round(k / (na + nb - k), 6) >= 0.8""",
+    "text_classes": "SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS class_id FROM documents",
     "replacement_flatten": f"""
         WITH {_LINEAGE}, r AS (SELECT 'c' || (doc_id + 100000) AS new_id, 'c' || (doc_id // 2) AS old_id, doc_id AS seq FROM documents WHERE doc_id % 4 = 1),
         o AS (SELECT old_id, arg_min(new_id, seq) AS f, arg_max(new_id, seq) AS l FROM r GROUP BY 1)

@@ -193,6 +193,11 @@ def word_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.shared_word_pairs(documents(spark, sf_dir).withColumnRenamed("document_id", "id"), 0.8)
 
 
+@query
+def text_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.text_classes(documents(spark, sf_dir).withColumnRenamed("document_id", "id"))
+
+
 def _paired(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Sentence chunks of documents as references, and edited ones as their new version."""
     rows = sentence_chunks(spark, sf_dir).select("document_id", F.col("chunk_id").alias("id"), F.col("chunk_index").alias("seq"), F.col("chunk_text").alias("text"))
