@@ -19,7 +19,7 @@ from ..functions.models import decide_pair
 from ..functions.vectors import neighbours
 from ..operators import chunking, ingest, lineage, reports, requirements, versions
 from ..streaming.hash_ingest import ingest_available
-from ..sources.scratch import scratch_path
+from ..sources.scratch import materialize, scratch_path
 from ..thresholds import DEFAULT
 
 SCALED = replace(DEFAULT, vector_duplicate=0.48, vector_similar=0.40, version=0.30, requirement_duplicate=0.40, requirement_certain=0.45, review_suggestion=0.42, document_final=0.10)
@@ -52,6 +52,12 @@ def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunks(documents(spark, sf_dir), lambda t: T.pack(T.sentences(t), DEFAULT.max_chunk_chars, " "))
 
 
+def chunk_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk hashes with the first occurrence, over a slim table, so that texts are packed once."""
+    slim = sentence_chunks(spark, sf_dir).select("document_id", "chunk_index", "chunk_hash")
+    return chunking.first_occurrences(materialize(slim, "chunk_keys"))
+
+
 @query
 def file_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.dedup_files(ingest.file_hashes(files(spark, sf_dir)))
@@ -76,13 +82,13 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chunk_dup_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunking.first_occurrences(sentence_chunks(spark, sf_dir))
+    rows = chunk_keys(spark, sf_dir)
     return rows.groupBy("document_id").agg(F.count(F.lit(1)).alias("total"), F.sum(F.col("is_duplicate").cast("long")).alias("duplicate"))
 
 
 @query
 def document_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunking.first_occurrences(sentence_chunks(spark, sf_dir)).withColumn("status", F.when(F.col("is_duplicate"), "duplicate").otherwise("new"))
+    rows = chunk_keys(spark, sf_dir).withColumn("status", F.when(F.col("is_duplicate"), "duplicate").otherwise("new"))
     return chunking.document_verdicts(chunking.count_outcomes(rows))
 
 
