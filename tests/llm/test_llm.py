@@ -348,6 +348,24 @@ def test_planted_passages(spark, monkeypatch, hot):
     assert min(r["identity"] for r in found) >= 0.8
 
 
+@pytest.mark.parametrize("partners", [32, 1])
+@pytest.mark.parametrize("hot", [10_000, 2])
+def test_passages_among_partial_quotes(spark, monkeypatch, partners, hot):
+    monkeypatch.setattr(collinear, "PARTNERS", partners, raising=False)
+    monkeypatch.setattr(collinear, "HOT_ROWS", hot)
+    monkeypatch.setattr(collinear, "HOT_SAMPLE", 1 if hot == 2 else 16)
+    rng = random.Random(9)
+    filler = lambda: [f"f{rng.randrange(10**9)}" for _ in range(50)]
+    rows, pairs = [], set()
+    for base in range(0, 200, 10):
+        passage = [f"p{base}x{i}" for i in range(60)]
+        part = {5: (0, 60), 9: (0, 60), 1: (0, 39), 2: (21, 60), 7: (0, 39), 8: (21, 60)}
+        rows += [(base + k, " ".join([*filler(), *passage[s:e], *filler()])) for k, (s, e) in part.items()]
+        pairs.add((base + 9, base + 5, 50, 110, 50, 110))
+    found = collinear.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(r)[:1] + (r["match_doc_id"], r["start"], r["end"], r["match_start"], r["match_end"]) for r in found} == pairs
+
+
 @pytest.mark.parametrize("shipped", [1 << 20, 50])
 def test_pieces_equal_the_library(spark, monkeypatch, shipped):
     import sentencepiece
