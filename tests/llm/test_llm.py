@@ -366,6 +366,23 @@ def test_passages_among_partial_quotes(spark, monkeypatch, partners, hot):
     assert {tuple(r)[:1] + (r["match_doc_id"], r["start"], r["end"], r["match_start"], r["match_end"]) for r in found} == pairs
 
 
+def test_passages_in_templates_and_with_edits(spark):
+    rng = random.Random(10)
+    other = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    blocks = [[f"b{k}x{i}" for i in range(51)] for k in range(8)]
+    forms = [[w for b in blocks for w in [*b, *other(15)]] for _ in range(2)]
+    rows = [(1, " ".join(forms[0])), (2, " ".join(forms[1]))]
+    for k in range(50):
+        passage = [f"e{k}x{i}" for i in range(100)]
+        edited = [w if i % 10 else other(1)[0] for i, w in enumerate(passage)]
+        rows += [(10 + 2 * k, " ".join([*other(30), *passage, *other(30)])), (11 + 2 * k, " ".join([*other(30), *edited, *other(30)]))]
+    found = collinear.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    covered = {w for r in found if r["doc_id"] == 2 for w in range(r["start"], r["end"])}
+    assert covered >= {w for k in range(8) for w in range(66 * k, 66 * k + 51)}
+    assert {r["doc_id"] for r in found if r["doc_id"] > 9} == {11 + 2 * k for k in range(50)}
+    assert min(r["identity"] for r in found) >= 0.8
+
+
 @pytest.mark.parametrize("shipped", [1 << 20, 50])
 def test_pieces_equal_the_library(spark, monkeypatch, shipped):
     import sentencepiece
