@@ -7,9 +7,10 @@ probability P_w = (P_e + product of the children's P_w) / 2 mixes all depths: wh
 is, along the path of the context, w * KT + (1 - w) * the child's prediction with
 w = P_e / (2 P_w).
 
-The counts cover all training text.  A context is a node of its own while it is among the
-MAX_CONTEXTS most frequent of the corpus; the rarer children of a node share one leaf.  That
-bounds the model, which is given to every worker: 1 KB for each context.
+The counts cover all training text, and every context seen in it is a node.  Subtrees below the
+contexts of TOP bytes are built apart, twice: up for the weights, and down, once the few nodes
+above are known, for the probabilities of all grams (context and byte) that occur in any text.
+Scoring reads that table in slices.
 
 The base score beside it is a word unigram with add-one smoothing.  Counts of frequent words go
 to the workers; all others are joined by shuffle, where no key is frequent.
@@ -17,7 +18,7 @@ to the workers; all others are joined by shuffle, where no key is frequent.
 
 from __future__ import annotations
 
-import io
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,17 +36,22 @@ from ..sources.scratch import materialize, scratch_path
 
 #: Bytes of context at most; a context and its next byte must fit 7 bytes.
 DEPTH = 5
-#: Contexts of the model at most (1 KB each).
-MAX_CONTEXTS = 1 << 15
+#: The subtrees of contexts of so many bytes are built apart; the nodes above, at most 255 for each
+#: of up to 256 contexts, are summed on the driver.
+TOP = 2
+#: Grams of a task that builds subtrees, about.
+TASK_GRAMS = 200_000
+#: The table of probabilities is read in slices of so many grams (12 bytes each).
+SLICE_ROWS = 1 << 20
 #: Words of over 1 / HEAD_SHARE of the training tokens are frequent: there are fewer than
 #: HEAD_SHARE of them, whose counts go to the workers (16 bytes each).
 HEAD_SHARE = 1 << 21
-#: Contexts are evaluated together in so many rows when the model is built.
-BUILD_ROWS = 2048
 #: Never in UTF-8: ends a text, and stands before its start.
 END = 0xFF
 #: Texts are taken together up to about so many bytes.
 CHUNK_CHARS = 2_000_000
+#: The same for scoring: the table is read once for each such run of texts.
+SCORE_CHARS = 6_000_000
 #: A task's counts are passed on when there are so many distinct keys.
 HELD_KEYS = 700_000
 #: The end token's key: no word holds a space.
@@ -94,10 +100,10 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word_keys(words), codes, own[full]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def _chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of batches with their texts (column 1), normalized."""
     for batch in batches:
-        for a, b in byte_runs(batch.column(1), CHUNK_CHARS):
+        for a, b in byte_runs(batch.column(1), size):
             part = batch.slice(a, b - a)
             yield part, [normalized(t.as_py()) for t in part.column(1)]
 
@@ -120,10 +126,14 @@ def _counter(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                         part = keys[at : at + 100_000]
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind)), pa.array(part.astype(np.int64)), pa.array(n[at : at + 100_000])], ["kind", "key", "n"])
 
-        for _, texts in _chunks(batches):
-            _, grams, _, _ = sequences(texts, depth)
+        for part, texts in _chunks(batches):
+            _, grams, first, _ = sequences(texts, depth)
+            train = ~part.column(2).to_numpy(zero_copy_only=False)
             codes, keys = pd.factorize(grams)
-            held[GRAM].append((keys, np.bincount(codes)))
+            held[GRAM].append((keys, np.bincount(codes, weights=np.repeat(train, np.diff(np.r_[first, len(grams)])))))
+            texts = [t for t, x in zip(texts, train) if x]
+            if not texts:
+                continue
             words, of, _ = words_of(texts)
             held[WORD].append((np.r_[words, END_KEY], np.r_[np.bincount(of, minlength=len(words)), len(texts)]))
             for kind in (WORD, GRAM):
@@ -146,146 +156,176 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
 
 
-def _tree_counts(byte_counts: np.ndarray) -> np.ndarray:
-    """Counts of the binary nodes in heap order: children of v are 2v and 2v + 1, leaves 256 + byte."""
-    heap = np.zeros((len(byte_counts), 512))
-    heap[:, 256:] = byte_counts
-    for v in range(255, 0, -1):
-        heap[:, v] = heap[:, 2 * v] + heap[:, 2 * v + 1]
-    return heap
-
-
-def _estimates(byte_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log of the KT block probability, and the KT probability of a one, by context and binary node."""
-    log_pe, ones = np.zeros((len(byte_counts), 256)), np.zeros((len(byte_counts), 256), np.float32)
-    for at in range(0, len(byte_counts), BUILD_ROWS):
-        heap = _tree_counts(byte_counts[at : at + BUILD_ROWS])
-        n0, n1 = heap[:, 0:512:2], heap[:, 1:512:2]
-        both = n0 + n1
-        log_pe[at : at + BUILD_ROWS] = _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - _log_gamma(both + 1) - np.log(np.pi)
-        ones[at : at + BUILD_ROWS] = (n1 + 0.5) / (both + 1)
-    return log_pe, ones
+class Level:
+    """Binary nodes of all contexts of one depth: key (context, node), counts, estimates, weights."""
+
+    def __init__(self, keys: np.ndarray, zero: np.ndarray, one: np.ndarray, split: np.ndarray | None):
+        self.keys, self.zero, self.one = keys, zero, one
+        log_pe = _log_gamma(zero + 0.5) + _log_gamma(one + 0.5) - _log_gamma(zero + one + 1) - np.log(np.pi)
+        if split is None:
+            self.log_pw, self.own, self.rest = log_pe, np.ones(len(keys)), np.zeros(len(keys))
+        else:
+            self.log_pw = np.logaddexp(log_pe, split) - np.log(2)
+            self.own, self.rest = (np.exp(x - np.log(2) - self.log_pw) for x in (log_pe, split))
+
+    def above(self, depth: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Keys of the parents, at ``depth``, the parent of each node, and the parents' sums: counts and log P_w."""
+        context = (self.keys >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)
+        keys, of = np.unique(context << np.uint64(8) | self.keys & np.uint64(255), return_inverse=True)
+        return keys, of, tuple(np.bincount(of, weights=x, minlength=len(keys)) for x in (self.zero, self.one, self.log_pw))
+
+    def mixed(self, given: np.ndarray) -> np.ndarray:
+        """What is settled down to this level: P(0), P(1) and the share left to the children."""
+        left, both = given[2], self.zero + self.one + 1
+        return np.stack([given[0] + left * self.own * (self.zero + 0.5) / both, given[1] + left * self.own * (self.one + 0.5) / both, left * self.rest])
+
+
+def _levels(grams: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[list[Level], list[np.ndarray], np.ndarray]:
+    """Levels from ``depth`` to ``top`` of all grams of some contexts of length ``top``, the parents
+    between them, and each gram's eight nodes.  A gram of count 0 only gives nodes to ask for."""
+    leaf = (grams & np.uint64(255)) + np.uint64(256)
+    nodes = np.stack([leaf >> np.uint64(8 - i) for i in range(8)], 1)
+    keys, at = np.unique((grams >> np.uint64(8) << np.uint64(8))[:, None] | nodes, return_inverse=True)
+    at = at.reshape(-1, 8)
+    bits = np.stack([leaf >> np.uint64(7 - i) & np.uint64(1) for i in range(8)], 1).astype(bool)
+    weight = np.repeat(n.astype(np.float64), 8).reshape(-1, 8)
+    zero, one = (np.bincount(at.ravel(), weights=np.where(hit, weight, 0).ravel(), minlength=len(keys)) for hit in (~bits, bits))
+    levels, parents = [Level(keys, zero, one, None)], []
+    for d in range(depth - 1, top - 1, -1):
+        keys, of, sums = levels[-1].above(d)
+        parents.append(of)
+        levels.append(Level(keys, *sums))
+    return levels, parents, at
+
+
+def _log2(levels: list[Level], parents: list[np.ndarray], at: np.ndarray, grams: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """Log2 probability of each gram's last byte; ``given``: ``mixed`` above the last level."""
+    for level, of in zip(levels[::-1], [*parents[::-1], None]):
+        given = level.mixed(given)
+        if of is not None:
+            given = given[:, of]
+    logs, out = np.log2(given[:2]), np.zeros(len(grams))
+    for i in range(8):
+        bit = (grams >> np.uint64(7 - i) & np.uint64(1)).astype(np.int64)
+        out += logs[bit, at[:, i]]
+    return out
+
+
+def _start(n: int) -> np.ndarray:
+    return np.stack([np.zeros(n), np.zeros(n), np.ones(n)])
 
 
 class ContextTree:
-    """Log2 probabilities of the next byte by context: ``table[state]``, states by depth."""
+    """The model of few grams, in memory."""
 
-    def __init__(self, keys: list[np.ndarray], table: np.ndarray):
-        self.keys, self.table = keys, table
-        self.first = np.cumsum([0, *[len(k) for k in keys]])
+    def __init__(self, grams: np.ndarray, n: np.ndarray, depth: int):
+        self.grams, self.n, self.depth = grams, n, depth
 
     @staticmethod
     def build(depths: np.ndarray, contexts: np.ndarray, symbols: np.ndarray, counts: np.ndarray, depth: int) -> ContextTree:
-        """From rows (depth, context, byte, count); contexts are closed under dropping the oldest byte."""
-        keys, bytes_ = [], []
-        for d in range(depth + 1):
-            at = depths == d
-            own, of = np.unique(contexts[at], return_inverse=True)
-            dense = np.zeros((max(len(own), d == 0), 256))
-            np.add.at(dense, (of, symbols[at]), counts[at])
-            keys.append(own if d or len(own) else np.zeros(1, contexts.dtype))
-            bytes_.append(dense)
-        parents = [np.searchsorted(keys[d - 1], keys[d] & contexts.dtype.type((1 << 8 * (d - 1)) - 1)) if d else None for d in range(depth + 1)]
-        weights, ones, log_pw = [None] * (depth + 1), [None] * (depth + 1), None
-        states = [None] * (depth + 1)
-        for d in range(depth, -1, -1):
-            log_pe, kt = _estimates(bytes_[d])
-            if d < depth and len(keys[d + 1]):
-                rest = bytes_[d].copy()
-                np.subtract.at(rest, parents[d + 1], bytes_.pop())
-                split, kt_rest = _estimates(np.maximum(rest, 0))
-                np.add.at(split, parents[d + 1], log_pw)
-                log_pw = np.logaddexp(log_pe, split) - np.log(2)
-                w = np.exp(log_pe - np.log(2) - log_pw).astype(np.float32)
-                alone = np.bincount(parents[d + 1], minlength=len(keys[d])) == 0
-                log_pw[alone], w[alone] = log_pe[alone], 1
-                states[d] = w * kt + (1 - w) * kt_rest
-            else:
-                if d < depth:
-                    bytes_.pop()
-                log_pw, w = log_pe, np.ones(log_pe.shape, np.float32)
-                states[d] = kt
-            weights[d], ones[d] = w, kt
-        table = []
-        for d in range(depth + 1):
-            q, at = states[d], np.arange(len(keys[d]))
-            for e in range(d - 1, -1, -1):
-                at = parents[e + 1][at]
-                q = weights[e][at] * ones[e][at] + (1 - weights[e][at]) * q
-            q[:, 0] = 0.5  # no node
-            log_one, log_zero = np.log2(q), np.log2(1 - q)
-            heap = np.zeros((len(q), 512), np.float32)
-            for v in range(1, 256):
-                heap[:, 2 * v], heap[:, 2 * v + 1] = heap[:, v] + log_zero[:, v], heap[:, v] + log_one[:, v]
-            table.append(heap[:, 256:])
-        return ContextTree(keys, np.concatenate(table))
+        """From rows (depth, context, byte, count), of which those of the full depth are read."""
+        at = depths == depth
+        return ContextTree(contexts[at] << np.uint64(8) | symbols[at].astype(np.uint64), counts[at], depth)
 
     def log2(self, grams: np.ndarray) -> np.ndarray:
         """Log2 probability of each gram's last byte after its other bytes."""
-        codes, own = pd.factorize(grams)
-        context, symbol = own >> np.uint64(8), (own & np.uint64(255)).astype(np.int64)
-        state = np.zeros(len(own), np.int64)
-        for d in range(1, len(self.keys)):
-            if len(self.keys[d]):
-                part = context & np.uint64((1 << 8 * d) - 1)
-                at = np.minimum(np.searchsorted(self.keys[d], part), len(self.keys[d]) - 1)
-                state = np.where(self.keys[d][at] == part, self.first[d] + at, state)
-        return self.table[state, symbol].astype(np.float64)[codes]
-
-    def to_bytes(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, table=self.table, **{f"k{d}": k for d, k in enumerate(self.keys)})
-        return out.getvalue()
+        every, of = np.unique(np.r_[self.grams, grams], return_inverse=True)
+        levels, parents, at = _levels(every, np.bincount(of[: len(self.grams)], weights=self.n, minlength=len(every)), self.depth, 0)
+        return _log2(levels, parents, at, every, _start(len(levels[-1].keys)))[of[len(self.grams) :]]
 
-    @staticmethod
-    def from_bytes(data: bytes) -> ContextTree:
-        with np.load(io.BytesIO(data)) as x:
-            return ContextTree([x[f"k{d}"] for d in range(len(x.files) - 1)], x["table"])
 
+def _place(grams: np.ndarray) -> np.ndarray:
+    """Grams with their last TOP context bytes in front: what a table slice is ordered by."""
+    return grams >> np.uint64(8) << np.uint64(64 - 8 * TOP) | grams
 
-def _builder(path: str, depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        cols = [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held] or [np.zeros(0, np.int64)]) for i in range(4)]
-        tree = ContextTree.build(cols[0], cols[1].astype(np.uint64), cols[2].astype(np.int64), cols[3], depth)
-        fs, at = pafs.FileSystem.from_uri(path)
-        with fs.open_output_stream(at) as out:
-            out.write(tree.to_bytes())
-        yield pa.RecordBatch.from_arrays([pa.array([len(tree.table)], pa.int64())], ["contexts"])
-        del tree, held, cols
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    held = list(batches)
+    keys, n = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held] or [np.zeros(0, np.int64)]) for i in range(2))
+    return keys.astype(np.uint64), n
+
+
+def _summed(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums over whole contexts of length TOP for the nodes of the next shorter ones."""
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, n = _rows(batches)
+        if len(grams):
+            keys, _, sums = _levels(grams, n, depth, TOP)[0][-1].above(TOP - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), *[pa.array(x) for x in sums]], ["key", "zero", "one", "split"])
         release_memory()
 
-    return build
+    return up
+
+
+def _tabled(folder: str, depth: int, keys: np.ndarray, given: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes log2 probabilities of all grams as slices, ordered by place."""
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, n = _rows(batches)
+        if len(grams):
+            grams, n = (x[np.argsort(_place(grams))] for x in (grams, n))
+            levels, parents, at = _levels(grams, n, depth, TOP)
+            asked, of, _ = levels[-1].above(TOP - 1)
+            log2 = _log2(levels, parents, at, grams, given[:, np.searchsorted(keys, asked)[of]]).astype(np.float32)
+            place, out = _place(grams), []
+            for i in range(0, len(grams), SLICE_ROWS):
+                fs, path = pafs.FileSystem.from_uri(f"{folder}-{uuid.uuid4().hex}")
+                part = place[i : i + SLICE_ROWS]
+                with fs.open_output_stream(path) as f:
+                    f.write(part.tobytes() + log2[i : i + SLICE_ROWS].tobytes())
+                out.append((path, int(part[0]), int(part[-1]), len(part)))
+            # unsigned places travel as text
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out]), pa.array([str(r[1]) for r in out]), pa.array([str(r[2]) for r in out]), pa.array([r[3] for r in out], pa.int64())], ["path", "first", "last", "n"])
+        release_memory()
+
+    return down
+
+
+class Table:
+    """Log2 probabilities of grams, read by slices of SLICE_ROWS at most."""
+
+    def __init__(self, folder: str, slices: list[tuple[str, int, int, int]]):
+        self.fs, self.slices = pafs.FileSystem.from_uri(folder)[0], slices
+
+    def log2(self, grams: np.ndarray) -> np.ndarray:
+        codes, own = pd.factorize(_place(grams))
+        order = np.argsort(own)
+        asked, found = own[order], np.zeros(len(own))
+        for path, first, last, n in self.slices:
+            i, j = np.searchsorted(asked, np.uint64(first)), np.searchsorted(asked, np.uint64(last), "right")
+            if i < j:
+                with self.fs.open_input_file(path) as f:
+                    data = f.read()
+                at = np.searchsorted(np.frombuffer(data, np.uint64, n), asked[i:j])
+                found[order[i:j]] = np.frombuffer(data, np.float32, n, 8 * n)[at]
+        return found[codes]
 
 
 def _uri(path: str) -> str:
     return path if ":" in path else f"file://{path}"
 
 
-def _least_count(counted: DataFrame, limit: int, per_octave: int = 4) -> int:
-    """The least count such that at most ``limit`` rows of ``counted(n)`` have it or more."""
-    bins = {r["k"]: r["c"] for r in counted.groupBy(F.floor(F.log2("n") * per_octave).alias("k")).agg(F.count(F.lit(1)).alias("c")).collect()}
-    k = 0
-    while sum(c for x, c in bins.items() if x >= k) > limit:
-        k += 1
-    return int(np.ceil(2 ** (k / per_octave)))
-
-
-def build_tree(grams: DataFrame, path: str, depth: int = DEPTH, limit: int = MAX_CONTEXTS) -> None:
-    """Write the model of gram counts ``key, n`` to ``path``."""
-    levels = [grams.select(F.lit(depth).alias("depth"), "key", "n")]
-    for d in range(depth - 1, -1, -1):
-        shorter = F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1))
-        levels.append(materialize(levels[-1].groupBy(shorter.alias("key")).agg(F.sum("n").alias("n")), f"level{d}").select(F.lit(d).alias("depth"), "key", "n"))
-    rows = levels[0]
-    for level in levels[1:]:
-        rows = rows.unionByName(level)
-    context = F.shiftright("key", 8)
-    counted = materialize(rows.groupBy("depth", context.alias("context")).agg(F.sum("n").alias("n")), "contexts")
-    kept = counted.filter((F.col("depth") == 0) | (F.col("n") >= _least_count(counted, limit))).select(F.col("depth").alias("d"), F.col("context").alias("c"))
-    chosen = rows.select("depth", context.alias("context"), F.col("key").bitwiseAND(F.lit(255)).alias("symbol"), "n")
-    chosen = chosen.join(F.broadcast(kept), (F.col("depth") == F.col("d")) & (F.col("context") == F.col("c"))).drop("d", "c")
-    chosen.select(F.col("depth").cast("long"), "context", "symbol", "n").repartition(1).mapInArrow(_builder(path, depth), "contexts long").collect()
+def build_tree(grams: DataFrame, folder: str, depth: int = DEPTH) -> list[tuple[str, int, int, int]]:
+    """Write the probabilities of all gram counts ``key, n`` below ``folder``; gives the slices.
+
+    A task has all grams of some contexts of length TOP, and with them their whole subtrees.
+    """
+    dealt = grams.select("key", "n").repartitionByRange(grams.count() // TASK_GRAMS + 1, F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * TOP) - 1)))
+    part = dealt.mapInArrow(_summed(depth), "key long, zero double, one double, split double")
+    rows = part.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zero", "one", "split")]).toPandas().sort_values("key")
+    levels = [Level(rows["key"].to_numpy().astype(np.uint64), *[rows[c].to_numpy() for c in ("zero", "one", "split")])]
+    parents = []
+    for d in range(TOP - 2, -1, -1):
+        keys, of, sums = levels[-1].above(d)
+        parents.append(of)
+        levels.append(Level(keys, *sums))
+    given = _start(len(levels[-1].keys))
+    for level, of in zip(levels[::-1], [*parents[::-1], None]):
+        given = level.mixed(given)
+        given = given if of is None else given[:, of]
+    slices = dealt.mapInArrow(_tabled(folder, depth, levels[0].keys, given), "path string, first string, last string, n long").collect()
+    return sorted((r["path"], int(r["first"]), int(r["last"]), r["n"]) for r in slices)
 
 
 class WordCounts:
@@ -309,17 +349,12 @@ class WordCounts:
 _SCORED = "doc_id long, held_out boolean, n_tokens long, known long, base double, log2 double, n_bytes long, tail array<long>"
 
 
-def _scorer(model: str, head: str, depth: int, total: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scorer(folder: str, slices: list[tuple[str, int, int, int]], head: str, depth: int, total: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Scores rows (doc_id, text, held_out); ``total`` is the base model's denominator."""
 
-    def load() -> ContextTree:
-        fs, at = pafs.FileSystem.from_uri(model)
-        with fs.open_input_file(at) as f:
-            return ContextTree.from_bytes(f.read())
-
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, counts = worker_store(f"tree:{model}", load), worker_store(f"words:{head}", lambda: WordCounts(head))
-        for batch, texts in _chunks(batches):
+        tree, counts = Table(folder, slices), worker_store(f"words:{head}", lambda: WordCounts(head))
+        for batch, texts in _chunks(batches, SCORE_CHARS):
             n = len(texts)
             _, grams, first, _ = sequences(texts, depth)
             log2 = np.add.reduceat(tree.log2(grams), first) if n else np.zeros(0)
@@ -351,16 +386,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(F.col(id_col)).alias("held_out"))
-    partial = rows.filter(~F.col("held_out")).select("doc_id", "text").mapInArrow(_counter(depth), "kind long, key long, n long")
+    partial = rows.select("doc_id", "text", "held_out").mapInArrow(_counter(depth), "kind long, key long, n long")
     counts = materialize(partial.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     words = counts.filter(F.col("kind") == WORD).select("key", "n")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    model, head = _uri(scratch_path(spark, "tree.npz")), _uri(scratch_path(spark, "head"))
-    build_tree(counts.filter(F.col("kind") == GRAM).select("key", "n"), model, depth)
+    folder, head = _uri(scratch_path(spark, "slice")), _uri(scratch_path(spark, "head"))
+    slices = build_tree(counts.filter(F.col("kind") == GRAM).select("key", "n"), folder, depth)
     is_head = (F.col("n") > n // HEAD_SHARE) | (F.col("key") == END_KEY)
     words.filter(is_head).write.parquet(head)
     total = n + v + 1
-    scored = rows.select("doc_id", "text", "held_out").mapInArrow(_scorer(model, head, depth, total), _SCORED)
+    scored = rows.select("doc_id", "text", "held_out").mapInArrow(_scorer(folder, slices, head, depth, total), _SCORED)
     scored = materialize(scored.withColumn("rid", F.monotonically_increasing_id()), "scored")
     tail = scored.select("rid", F.explode("tail").alias("key"))
     looked = tail.join(words.filter(~is_head), "key", "left").select("rid", F.coalesce("n", F.lit(0)).alias("c"))

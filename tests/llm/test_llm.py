@@ -274,6 +274,21 @@ def test_context_tree_by_brute_force():
         assert tree.log2(np.array([gram], np.uint64))[0] == pytest.approx(total, abs=1e-4)
 
 
+def test_all_contexts_are_nodes(spark):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(3000)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    size = context_tree.DEPTH
+    grams = collections.Counter(context_tree.sequences([t.encode() for t, h in zip(texts, held) if not h], size)[1].tolist())
+    assert len({g >> 8 for g in grams}) > 100_000
+    keys = np.array(list(grams), np.uint64)
+    tree = context_tree.ContextTree.build(np.full(len(keys), size), keys >> np.uint64(8), (keys & np.uint64(255)).astype(int), np.array(list(grams.values())), size)
+    for r in context_tree.score(df).collect():
+        own = tree.log2(context_tree.sequences([texts[r["doc_id"]].encode()], size)[1])
+        assert r["score"] == pytest.approx(own.sum() * math.log10(2), rel=1e-5)
+
+
 @pytest.mark.parametrize("share", [1 << 21, 20])
 def test_base_scores(docs, monkeypatch, share):
     monkeypatch.setattr(context_tree, "HEAD_SHARE", share)
