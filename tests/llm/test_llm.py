@@ -289,6 +289,14 @@ def test_all_contexts_are_nodes(spark):
         assert r["score"] == pytest.approx(own.sum() * math.log10(2), rel=1e-5)
 
 
+def test_unseen_bytes_after_frequent_contexts():
+    rows = np.array([(0, 0, 97, 10**8), (1, 97, 97, 10**8)])
+    tree = context_tree.ContextTree.build(rows[:, 0], rows[:, 1].astype(np.uint64), rows[:, 2], rows[:, 3], 1)
+    found = tree.log2(np.array([97 << 8 | s for s in range(256)], np.uint64))
+    assert np.isfinite(found).all() and (2.0**found).sum() == pytest.approx(1)
+    assert found[0] == pytest.approx(math.log2(0.5 / (10**8 + 1)) - 6, abs=1)
+
+
 @pytest.mark.parametrize("share", [1 << 21, 20])
 def test_base_scores(docs, monkeypatch, share):
     monkeypatch.setattr(context_tree, "HEAD_SHARE", share)
