@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blended, chunk_text, jaccard, may_be_similar, offsets, sequence_ratio, word_set
+from ..functions.text import blended, chunk_text, jaccard, may_be_similar, offsets, ratio_reaches, sequence_ratio, word_set
 from ..thresholds import DEFAULT, Thresholds
 
+#: Chunks of like lengths are dealt over so many blocks, each compared with all documents of such lengths.
+CHUNK_BLOCKS = 8
+
 
 def chunks(docs: DataFrame, splitter: Callable[[Column], Column] = chunk_text) -> DataFrame:
     """``document_id, chunk_index, chunk_id, chunk_text, chunk_hash`` of ``document_id, text``."""
@@ -135,16 +138,19 @@ def overlap_fallback(docs: DataFrame, chunks: DataFrame, t: Thresholds = DEFAULT
     """Documents against other documents' chunks by character ratio, where no vector decides.
 
     ``document_id, other_id, fraction``: the share of the other document's chunks whose ratio
-    to the whole text is ``chunk_ratio`` or more, from ``chunk_fraction`` on.  Lengths prune
-    exactly; candidates must also share one of the chunk's five rarest words.
+    to the whole text is ``chunk_ratio`` or more, from ``chunk_fraction`` on.  All pairs whose
+    lengths allow the ratio are compared, in blocks by length and by the chunk's hash.
     """
-    rarest = chunks.select("document_id", "chunk_id", "chunk_text", F.explode(word_set(F.col("chunk_text"))).alias("w"))
-    frequency = rarest.groupBy("w").agg(F.count(F.lit(1)).alias("f"))
-    index = rarest.join(frequency, "w").groupBy("document_id", "chunk_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("f", "w"))), 1, 5).alias("ws"), F.first("chunk_text").alias("chunk_text"))
-    index = index.select(F.col("document_id").alias("other_id"), "chunk_id", "chunk_text", F.explode(F.transform("ws", lambda x: x["w"])).alias("w"))
-    words = docs.select("document_id", F.length("text").alias("n"), F.explode(word_set(F.col("text"))).alias("w"))
-    near = words.join(index, "w").filter((F.col("document_id") != F.col("other_id")) & (7 * F.col("n") <= 13 * F.length("chunk_text"))).select("document_id", "other_id", "chunk_id").distinct()
-    texts = near.join(docs.select("document_id", "text"), "document_id").join(chunks.select("chunk_id", "chunk_text"), "chunk_id")
-    hits = texts.filter(sequence_ratio("text", "chunk_text") >= t.chunk_ratio).groupBy("document_id", "other_id").agg(F.count(F.lit(1)).alias("hits"))
+    octave = lambda n: F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int")
+    size = octave(F.length("text"))
+    longest = chunks.agg(F.max(F.length("chunk_text"))).first()[0] or 0
+    able = docs.filter((F.length("text") <= longest) | (2 * longest >= t.chunk_ratio * (F.length("text") + longest) - 1e-6))
+    blocks = able.select("document_id", "text", F.explode(F.array(size - 1, size, size + 1)).alias("octave"))
+    blocks = blocks.select("*", F.explode(F.array(*[F.lit(i) for i in range(CHUNK_BLOCKS)])).alias("block"))
+    others = chunks.select(F.col("document_id").alias("other_id"), "chunk_id", "chunk_text", octave(F.length("chunk_text")).alias("octave"), F.pmod(F.xxhash64("chunk_id"), F.lit(CHUNK_BLOCKS)).cast("int").alias("block"))
+    n, m = F.length("text"), F.length("chunk_text")
+    allowed = 2 * F.least(n, m) >= t.chunk_ratio * (n + m) - 1e-6
+    pairs = blocks.join(others, ["octave", "block"]).filter((F.col("document_id") != F.col("other_id")) & allowed)
+    hits = pairs.filter(ratio_reaches("text", "chunk_text", F.lit(t.chunk_ratio))).groupBy("document_id", "other_id").agg(F.count(F.lit(1)).alias("hits"))
     totals = chunks.groupBy(F.col("document_id").alias("_id")).agg(F.count(F.lit(1)).alias("total"))
     return hits.join(totals, F.col("other_id") == F.col("_id")).select("document_id", "other_id", F.round(F.col("hits") / F.col("total"), 6).alias("fraction")).filter(F.col("fraction") >= t.chunk_fraction)
