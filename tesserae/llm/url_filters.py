@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 #: Host suffixes of fewer labels aren't keys.
 MIN_LABELS = 2
-#: Path beginnings of up to so many segments are keys.
+#: Path beginnings of up to so many segments are keys, unless told otherwise.
 PATH_SEGMENTS = 2
 #: What an entry's event does; of events of the same entry and time the first in this order acts.
 ACTIONS = ("allow", "block", "remove")
 
 
-def url_keys(url: Column) -> Column:
+def url_keys(url: Column, segments_limit: int = PATH_SEGMENTS) -> Column:
     """Keys of a URL with their specificity: ``array<struct<key, rank>>``; null or without host: none."""
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)?", 1)
@@ -29,7 +29,7 @@ def url_keys(url: Column) -> Column:
         F.transform(F.sequence(F.lit(MIN_LABELS), F.size(labels)), lambda n: F.struct(F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".").alias("key"), n.alias("rank"))),
     ).otherwise(F.array(F.struct(host.alias("key"), F.lit(1).alias("rank"))))
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    depth = F.least(F.size(segments), F.lit(PATH_SEGMENTS))
+    depth = F.least(F.size(segments), F.lit(segments_limit))
     paths = F.when(
         depth >= 1, F.transform(F.sequence(F.lit(1), depth), lambda n: F.struct(F.concat(host, F.lit("/"), F.array_join(F.slice(segments, F.lit(1), n), "/")).alias("key"), (n + 1000).alias("rank")))
     ).otherwise(F.array().cast("array<struct<key:string,rank:int>>"))
@@ -55,11 +55,12 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str, url_co
 
     ``verdict`` is ``block`` or ``allow`` by the most specific key that is listed at the time
     of the fetch, ``pass`` without one; path keys are more specific than hosts.  A null URL or
-    time passes.  Rows that repeat give rows that repeat; an empty list passes all; other
+    time passes.  Path beginnings are asked for down to the list's deepest entry.  Rows that repeat give rows that repeat; an empty list passes all; other
     columns are not read.  An entry's periods stay in one row, so that a capture meets an entry
     once, and the join of a frequent host can be split by the engine.
     """
-    rows = captures.select(F.col(id_col).alias("id"), F.col(time_col).cast("timestamp").alias("fetched"), url_keys(F.col(url_col)).alias("keys"), F.monotonically_increasing_id().alias("rid"))
+    deepest = entries.agg(F.max(F.size(F.filter(F.split("entry", "/"), lambda s: s != "")) - 1)).first()[0] or 0
+    rows = captures.select(F.col(id_col).alias("id"), F.col(time_col).cast("timestamp").alias("fetched"), url_keys(F.col(url_col), deepest).alias("keys"), F.monotonically_increasing_id().alias("rid"))
     asked = rows.select("id", "fetched", "rid", F.explode_outer("keys").alias("k")).select("id", "fetched", "rid", F.col("k.key").alias("key"), F.col("k.rank").alias("rank"))
     joined = asked.join(validity(entries), F.col("key") == F.col("entry"), "left")
     active = F.get(F.filter("periods", lambda p: (p["since"] <= F.col("fetched")) & (p["until"].isNull() | (F.col("fetched") < p["until"]))), F.lit(0))

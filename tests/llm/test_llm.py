@@ -144,6 +144,13 @@ def test_list_entries_act_from_their_date_on(spark):
     assert {r["verdict"] for r in url_filters.filter_captures(pages, events.limit(0), "id", "url", "at").collect()} == {"pass"}
 
 
+def test_deep_list_entries_act(spark):
+    pages = spark.createDataFrame([(1, "http://bad.com/a/b/c/d/e?q", "2024-02-01"), (2, "http://bad.com/a/b/c/x", "2024-02-01"), (3, "http://bad.com/a/b", "2024-02-01")], "id int, url string, at string")
+    events = spark.createDataFrame([("bad.com/a/b/c", "block", "2024-01-15"), ("bad.com/a/b/c/d/e", "allow", "2024-01-15")], "entry string, action string, since string").withColumn("since", F.to_timestamp("since"))
+    found = {r["id"]: r["verdict"] for r in url_filters.filter_captures(pages, events, "id", "url", "at").collect()}
+    assert found == {1: "allow", 2: "block", 3: "pass"}
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
