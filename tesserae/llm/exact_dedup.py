@@ -66,19 +66,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return _Plan(docs, id_col, text_col).decisions()
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
-
-    Rows that the repeat filter rules out pass straight through with their text; only
-    possible copies shuffle.  Of rows that repeat both id and text one stays.
-    """
+def copies_and_rest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The decisions of ``exact_dedup``, and the rows of ``drop_copies``, from one plan."""
     plan = _Plan(docs, id_col, text_col)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), _text_digest(F.col(text_col)).alias("text_sha256"))
     probed = probe(packed, plan.repeats, plan.words, plan.small)
     through = probed.filter(~F.col("maybe")).select("row")
     maybe = probed.filter("maybe").select("row", "doc_id", "text_sha256")
-    losers = plan.decisions().filter("NOT kept").select(F.col("text_sha256").alias("_sha"), F.col("doc_id").alias("_id"), F.col("keep_id").alias("_keep"))
+    decided = plan.decisions()
+    losers = decided.filter("NOT kept").select(F.col("text_sha256").alias("_sha"), F.col("doc_id").alias("_id"), F.col("keep_id").alias("_keep"))
     lost = losers.filter(~F.col("_id").eqNullSafe(F.col("_keep"))).select("_sha", "_id").distinct()
     left = maybe.join(lost, (F.col("text_sha256") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
     one = left.groupBy("text_sha256", "doc_id").agg(F.first("row").alias("row")).select("row")
-    return through.unionByName(one).select("row.*")
+    return decided, through.unionByName(one).select("row.*")
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Rows that the repeat filter rules out pass straight through with their text; only
+    possible copies shuffle.  Of rows that repeat both id and text one stays.
+    """
+    return copies_and_rest(docs, id_col, text_col)[1]

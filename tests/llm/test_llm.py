@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tesserae.llm import collinear, context_tree, dac, exact_dedup, mixing, quality_rules, sentencepiece_lattice, simhash, toxicity, url_filters
+from tesserae.llm import collinear, context_tree, dac, exact_dedup, mixing, packed, quality_rules, sentencepiece_lattice, simhash, toxicity, url_filters
 from tesserae.llm.oracles import ORACLES
 from tesserae.llm.queries import QUERIES
 
@@ -338,24 +338,33 @@ def test_alignment():
         assert collinear.edit_distance(x, y) == slow_distance(x, y)
 
 
-def test_chains_are_best(spark):
+def test_chains_are_best():
     rng = random.Random(6)
     for _ in range(50):
-        points = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(25)})
-        a, b = np.array([p[0] for p in points]), np.array([p[1] for p in points])
+        points = sorted({(rng.randrange(60), rng.randrange(60)): rng.randint(1, 9) for _ in range(25)}.items())
+        a, b, size = (np.array(x) for x in zip(*[(p[0], p[1], w) for p, w in points]))
         best = []
-        for i, (x, y) in enumerate(points):
-            gains = [best[j] - collinear.GAP_COST * (x - points[j][0] + y - points[j][1]) for j in range(i) if points[j][0] < x and points[j][1] < y]
-            best.append(collinear.K + max([0.0, *gains]))
-        path = collinear.chain(a, b)[0]
-        told = collinear.K * len(path) - collinear.GAP_COST * (a[path[-1]] - a[path[0]] + b[path[-1]] - b[path[0]])
+        for i in range(len(a)):
+            left = [j for j in range(i) if a[j] < a[i] and b[j] < b[i]]
+            gains = [best[j] - collinear.GAP_COST * (a[i] + b[i] - a[j] - b[j] - 2 * size[j]) for j in left]
+            best.append(size[i] + max([0.0, *gains]))
+        path = collinear.chain(a, b, size)[0]
+        told = sum(int(size[j]) for j in path) - collinear.GAP_COST * sum(a[j] + b[j] - a[i] - b[i] - 2 * size[i] for i, j in zip(path, path[1:]))
         assert told == pytest.approx(max(best))
 
 
+def test_packed_columns_come_back():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 1000):
+        columns = [rng.integers(-(2**63), 2**63 - 1, n), np.sort(rng.integers(0, 10**6, n)), np.full(n, 5), rng.integers(0, 2**32, n), np.zeros(n, np.int64), np.arange(n) - 7]
+        assert all((x == y).all() for x, y in zip(packed.unpack(packed.pack(columns)), columns))
+
+
 @pytest.mark.parametrize("hot", [10_000, 8])
 def test_planted_passages(spark, monkeypatch, hot):
     monkeypatch.setattr(collinear, "HOT_ROWS", hot)
     monkeypatch.setattr(collinear, "HOT_SAMPLE", 1 if hot == 8 else 16)
+    monkeypatch.setattr(collinear, "LEAST_SEEN", 1)
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(3000)]
     passages = [[rng.choice(vocabulary) for _ in range(60)] for _ in range(4)]
@@ -384,6 +393,7 @@ def test_passages_among_partial_quotes(spark, monkeypatch, partners, hot):
     monkeypatch.setattr(collinear, "PARTNERS", partners, raising=False)
     monkeypatch.setattr(collinear, "HOT_ROWS", hot)
     monkeypatch.setattr(collinear, "HOT_SAMPLE", 1 if hot == 2 else 16)
+    monkeypatch.setattr(collinear, "LEAST_SEEN", 1)
     rng = random.Random(9)
     filler = lambda: [f"f{rng.randrange(10**9)}" for _ in range(50)]
     rows, pairs = [], set()
@@ -396,6 +406,42 @@ def test_passages_among_partial_quotes(spark, monkeypatch, partners, hot):
     assert {tuple(r)[:1] + (r["match_doc_id"], r["start"], r["end"], r["match_start"], r["match_end"]) for r in found} == pairs
 
 
+def test_passages_of_repeated_ids(spark):
+    words = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    copied, unique, shared = words("t", 200), words("u", 200), words("s", 80)
+    texts = [(5, copied), (7, copied), (5, unique), (9, [*words("x", 30), *shared]), (9, [*words("y", 10), *shared]), (9, [*words("y", 10), *shared]), (None, shared)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    found = {tuple(r) for r in collinear.repeated_passages(df).collect()}
+    assert (5, 0, 200, 7, 0, 200, 200, 1.0) in found
+    rest = {r for r in found if r[0] != 5}
+    assert len(rest) == 1 and len(found) == 2
+    assert {next(iter(rest))[k] for k in (0, 3)} == {9} and {next(iter(rest))[k] for k in (1, 4)} == {10, 30}
+
+
+def equal_runs(texts):
+    """Places (document, first word) of each run of MIN_WORDS words."""
+    holders = collections.defaultdict(dict)
+    for i, words in texts.items():
+        for k in range(len(words) - collinear.MIN_WORDS + 1):
+            holders[tuple(words[k : k + collinear.MIN_WORDS])].setdefault(i, k)
+    return [x for x in holders.values() if len(x) > 1]
+
+
+def test_query_finds_all_equal_runs(spark, docs):
+    texts = {d["doc_id"]: collinear.words_of(d["text"]) for d in docs.collect()}
+    found = QUERIES["op8_repeated_passages"](spark, SF).collect()
+    of = {(r["doc_id"], r["match_doc_id"]) for r in found}
+    covered = collections.defaultdict(set)
+    for r in found:
+        covered[r["doc_id"]].update(range(r["start"], r["end"]))
+        x, y = texts[r["doc_id"]][r["start"] : r["end"]], texts[r["match_doc_id"]][r["match_start"] : r["match_end"]]
+        assert len(x) == r["n_words"] >= collinear.MIN_WORDS
+        assert r["identity"] == pytest.approx(1 - collinear.edit_distance(x, y) / max(len(x), len(y))) and r["identity"] >= collinear.MIN_IDENTITY
+    assert of
+    for places in equal_runs(texts):
+        assert sum(covered[i].issuperset(range(k, k + collinear.MIN_WORDS)) for i, k in places.items()) >= len(places) - 1
+
+
 def test_passages_in_templates_and_with_edits(spark):
     rng = random.Random(10)
     other = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
