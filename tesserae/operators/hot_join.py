@@ -12,6 +12,8 @@ from ..sources.scratch import materialize
 HOT_SHARE = 512
 #: A filter of more words than this (16 bytes each) is joined by shuffle, not broadcast.
 BROADCAST_WORDS = 2_000_000
+#: Up to so many ids are broadcast themselves (8 bytes each).
+BROADCAST_IDS = 2_000_000
 
 
 def join_counted(rows: DataFrame, counted: DataFrame, key: str, size: str, total: int) -> DataFrame:
@@ -32,12 +34,16 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: str, size: str, total
 def drop_ids(rows: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
     """``rows`` without those whose id is in ``dropped`` (one column, same name as ``id_col``).
 
-    A Bloom filter of the dropped ids lets all other rows pass straight through; only rows
-    that hit it shuffle to the exact anti-join.  A filter too large to broadcast is not used,
-    and all rows shuffle.  A null id is never dropped.
+    Up to BROADCAST_IDS ids are broadcast, and nothing shuffles.  Beyond, a Bloom filter of the
+    dropped ids lets all other rows pass straight through; only rows that hit it shuffle to the
+    exact anti-join.  A filter too large to broadcast is not used, and all rows shuffle.  A null
+    id is never dropped.
     """
     ids = materialize(dropped.select(F.col(id_col).cast("long").alias("_id")).filter("_id IS NOT NULL").distinct(), "dropped")
-    words = max(ids.count(), 64)
+    n = ids.count()
+    if n <= BROADCAST_IDS:
+        return rows.join(F.broadcast(ids), F.col(f"`{id_col}`").cast("long") == F.col("_id"), "left_anti")
+    words = max(n, 64)
     exact = lambda part: part.join(ids, F.col(f"row.{id_col}").cast("long") == F.col("_id"), "left_anti")
     packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
     if words > BROADCAST_WORDS:
@@ -50,10 +56,14 @@ def drop_ids(rows: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
 
 
 def likely_ids(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """``rows`` whose id may be in ``ids`` (one long column): a Bloom filter where that is small
-    enough to broadcast, else all rows.  It saves a join's shuffle, which must follow."""
+    """``rows`` whose id may be in ``ids`` (one long column): those themselves or a Bloom filter
+    where that is small enough to broadcast, else all rows.  It saves a join's shuffle, which must
+    follow."""
     known = materialize(ids.select(F.col(ids.columns[0]).cast("long").alias("_id")).filter("_id IS NOT NULL").distinct(), "wanted")
-    words = max(known.count(), 64)
+    n = known.count()
+    if n <= BROADCAST_IDS:
+        return rows.join(F.broadcast(known), F.col(f"`{id_col}`").cast("long") == F.col("_id"), "left_semi")
+    words = max(n, 64)
     if words > BROADCAST_WORDS:
         return rows
     word, mask = bloom_address(F.col("_id"), words)
