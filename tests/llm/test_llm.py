@@ -390,7 +390,7 @@ def test_planted_passages(spark, monkeypatch, hot):
 @pytest.mark.parametrize("partners", [32, 1])
 @pytest.mark.parametrize("hot", [10_000, 2])
 def test_passages_among_partial_quotes(spark, monkeypatch, partners, hot):
-    monkeypatch.setattr(collinear, "PARTNERS", partners, raising=False)
+    monkeypatch.setattr(collinear, "PARTNERS", partners)
     monkeypatch.setattr(collinear, "HOT_ROWS", hot)
     monkeypatch.setattr(collinear, "HOT_SAMPLE", 1 if hot == 2 else 16)
     monkeypatch.setattr(collinear, "LEAST_SEEN", 1)
