@@ -1,7 +1,8 @@
-"""Connected components of an edge table, by alternating large-star and small-star rounds.
+"""Connected components of an edge table.
 
-Each round is two joins and two aggregations over edges, so that nothing but a flag reaches
-the driver.  A first pass contracts the edges of each partition to stars.
+Each partition contracts its edges to stars.  Few stars are contracted once more by one task;
+more go through alternating large-star and small-star rounds, each two joins and two
+aggregations over edges.  Nothing but a count or a flag reaches the driver.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from ..sources.scratch import materialize
 
 _EDGES = "u long, v long"
+#: Up to so many star edges (16 bytes each) are contracted by one task.
+ONE_TASK_EDGES = 200_000
+#: Edges of a task that contracts, about.
+TASK_EDGES = 500_000
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,8 +66,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Loops and repeated edges are allowed; null ends are ignored; no edges give no rows.
     """
-    pairs = edges.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    stars = materialize(pairs.repartition("v").mapInArrow(_contract, _EDGES).repartition("v").mapInArrow(_contract, _EDGES), "stars")
+    pairs = edges.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    own = materialize(pairs.mapInArrow(_contract, _EDGES).distinct(), "edges")
+    n = own.count()
+    if n <= ONE_TASK_EDGES:
+        return own.coalesce(1).mapInArrow(_contract, _EDGES).toDF("node", "root")
+    stars = materialize(own.repartition(n // TASK_EDGES + 1, "v").mapInArrow(_contract, _EDGES), "stars")
     while not _is_forest_of_stars(stars):
         stars = materialize(_round(stars), "stars")
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -39,10 +39,11 @@ def drop_ids(rows: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
     exact anti-join.  A filter too large to broadcast is not used, and all rows shuffle.  A null
     id is never dropped.
     """
-    ids = materialize(dropped.select(F.col(id_col).cast("long").alias("_id")).filter("_id IS NOT NULL").distinct(), "dropped")
+    ids = dropped.select(F.col(id_col).cast("long").alias("_id")).filter("_id IS NOT NULL").distinct()
     n = ids.count()
     if n <= BROADCAST_IDS:
         return rows.join(F.broadcast(ids), F.col(f"`{id_col}`").cast("long") == F.col("_id"), "left_anti")
+    ids = materialize(ids, "dropped")
     words = max(n, 64)
     exact = lambda part: part.join(ids, F.col(f"row.{id_col}").cast("long") == F.col("_id"), "left_anti")
     packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
@@ -59,7 +60,7 @@ def likely_ids(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """``rows`` whose id may be in ``ids`` (one long column): those themselves or a Bloom filter
     where that is small enough to broadcast, else all rows.  It saves a join's shuffle, which must
     follow."""
-    known = materialize(ids.select(F.col(ids.columns[0]).cast("long").alias("_id")).filter("_id IS NOT NULL").distinct(), "wanted")
+    known = ids.select(F.col(ids.columns[0]).cast("long").alias("_id")).filter("_id IS NOT NULL").distinct()
     n = known.count()
     if n <= BROADCAST_IDS:
         return rows.join(F.broadcast(known), F.col(f"`{id_col}`").cast("long") == F.col("_id"), "left_semi")
@@ -67,7 +68,7 @@ def likely_ids(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     if words > BROADCAST_WORDS:
         return rows
     word, mask = bloom_address(F.col("_id"), words)
-    filter_ = F.broadcast(bloom_words(known.select(word, mask)))
+    filter_ = F.broadcast(bloom_words(materialize(known, "wanted").select(word, mask)))
     of_row = bloom_address(F.col(id_col).cast("long"), words)
     packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), of_row[0], of_row[1])
     return packed.join(filter_, "word_id").filter(bloom_hit()).select("row.*")

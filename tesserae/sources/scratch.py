@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+#: Rows of a file, where a bound on the rows is known.
+FILE_ROWS = 100_000
 _own: dict[str, str] = {}
 
 
@@ -40,12 +42,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back.
 
-    This cuts lineage as ``checkpoint()`` does, but keeps columnar pruning and pushdown.
+    This cuts lineage as ``checkpoint()`` does, but keeps columnar pruning and pushdown.  With
+    ``rows``, a bound on how many narrow rows there are, it takes no more files than these need.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(rows // FILE_ROWS + 1)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
