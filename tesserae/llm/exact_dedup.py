@@ -42,7 +42,7 @@ class _Plan:
         self.digests = materialize(ids.withColumn("row_id", F.monotonically_increasing_id()), "digests")
         self.total = self.digests.count()
         self.words = max(self.total // 2, 64)
-        self.repeats = materialize(repeat_filter(self.digests, self.words), "repeats")
+        self.repeats = materialize(repeat_filter(self.digests, self.words), "repeats", self.total)
         self.small = self.repeats.count() <= BROADCAST_WORDS
 
     def decisions(self) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.components import connected_components
 from ..operators.hot_join import drop_ids, join_counted
@@ -27,8 +28,8 @@ SHINGLE = 3
 SEED = 42
 #: An anchor with more rows than this is compared in tiles of slices of about this many.
 TILE_ROWS = 20_000
-#: At most about this many anchors are tiled; with more rows the tiles grow instead.
-MAX_TILED = 100_000
+#: Up to so many tiled anchors are broadcast, more are joined.
+BROADCAST_TILED = 100_000
 #: Hot anchors are found among one of this many fingerprints; it only balances the work.
 HOT_SAMPLE = 16
 #: Runs up to this length are compared by shifting, without a loop over runs.
@@ -169,11 +170,10 @@ def links(prints: DataFrame) -> DataFrame:
     large group doesn't give all its pairs; no connection is lost.
     """
     rows = prints.select("fp", F.inline(_replicas(F.col("fp"))))
-    total = prints.count()
-    tile_rows = max(TILE_ROWS, 34 * total // MAX_TILED)
     sample = rows.filter(F.pmod(F.xxhash64("fp"), F.lit(HOT_SAMPLE)) == 0)
-    hot = sample.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile_rows // HOT_SAMPLE)
-    hot = F.broadcast(hot.select("anchor", F.ceil(F.col("n") * HOT_SAMPLE / tile_rows).cast("int").alias("slices")))
+    hot = sample.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TILE_ROWS // HOT_SAMPLE)
+    hot = materialize(hot.select("anchor", F.ceil(F.col("n") * HOT_SAMPLE / TILE_ROWS).cast("int").alias("slices")), "tiled", BROADCAST_TILED)
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_TILED else hot
     own = F.pmod(F.xxhash64("fp", F.lit("slice")), F.col("slices")).cast("int")
     tiles = F.when(F.col("slices").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda j: F.least(own, j) * F.col("slices") + F.greatest(own, j)))
     dealt = rows.join(hot, "anchor", "left").select("fp", "home", "anchor", F.explode(tiles).alias("tile"))
@@ -182,26 +182,64 @@ def links(prints: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "u long, v long").distinct()
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, fp`` of every row, and these with their component: its smallest id, and the
+    least fingerprint of a row with that id."""
+    table = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    total = table.count()
+    grouped = table.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    distinct = materialize(grouped, "distinct", total)
+    roots = materialize(connected_components(links(distinct)), "roots", total)
+    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "fp")).alias("first"))
+    found = rooted.join(named, "root").select("fp", "n", F.col("first.least").alias("component_id"), F.col("first.fp").alias("keep_fp"))
+    classes = materialize(found, "classes", total)
+    return table, join_counted(table, classes, "fp", "n", total)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row.
 
     ``fingerprint`` is 16 hex digits; ``component_id`` is the smallest id that links of 3 or
     fewer bits reach.  Null and empty texts, and texts without a word, have fingerprint zero
-    and link like any other.  Rows that repeat give rows that repeat; a null id never names a
-    component unless it has no other; an empty table gives an empty result; other columns are
-    not read.
+    and link like any other; a very long text is hashed whole.  Rows that repeat give rows that
+    repeat; a null id never names a component unless it has no other; an empty table gives an
+    empty result; other columns are not read.
     """
-    table = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = materialize(table.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
-    roots = connected_components(links(distinct))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialize(rooted.join(named, "root").select("fp", "n", "component_id"), "classes")
-    joined = join_counted(table, classes, "fp", "n", table.count())
+    joined = _classes(docs, id_col, text_col)[1]
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _with_fingerprint(column: int):
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(column).cast(pa.binary())
+            yield batch.append_column("_fp", pa.array([fingerprint(x.as_py() or b"") for x in texts], pa.int64()))
+
+    return told
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all columns: of each component its smallest id."""
-    lost = near_duplicates(docs, id_col, text_col).filter(F.col("doc_id") != F.col("component_id"))
-    return drop_ids(docs, id_col, lost.select(F.col("doc_id").alias(id_col)))
+    """The rows of ``docs`` that stay, with all columns: of each component the row of the smallest id.
+
+    A row is told by its id, and where an id repeats or is null by its id and fingerprint: of
+    rows with the same of both one stays if any does.  A null id is larger than all others.
+    """
+    joined = _classes(docs, id_col, text_col)[1]
+    keep = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("keep_fp"))
+    decided = materialize(joined.select("doc_id", "fp", keep.alias("keep")), "decided", docs.count())
+    per_id = decided.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("keep").cast("int")).alias("k"))
+    dropped = materialize(per_id.filter("doc_id IS NULL OR k = 0 OR n > 1"), "dropped", decided.count())
+    again = dropped.filter("doc_id IS NULL OR k > 0").select(F.col("doc_id").alias("_again"))
+    plain = drop_ids(docs.filter(F.col(f"`{id_col}`").isNotNull()), id_col, dropped.select(F.col("doc_id").alias(id_col)))
+    if again.isEmpty():
+        return plain
+    own = F.col(f"`{id_col}`").cast("long")
+    rows = docs.join(again, own.eqNullSafe(F.col("_again")), "left_semi")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
+    told = rows.mapInArrow(_with_fingerprint(docs.columns.index(text_col)), schema)
+    packed = told.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("_id"), "_fp")
+    kept = decided.filter("keep").select(F.col("doc_id").alias("_kept"), F.col("fp").alias("_of")).distinct()
+    stay = packed.join(kept, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_fp") == F.col("_of")), "left_semi")
+    one = stay.groupBy("_id", "_fp").agg(F.first("row").alias("row"))
+    return plain.unionByName(one.select("row.*"))

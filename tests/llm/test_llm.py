@@ -209,7 +209,7 @@ def test_simhash_by_brute_force(spark, docs, monkeypatch, tiled):
     if tiled:
         monkeypatch.setattr(simhash, "TILE_ROWS", 16)
         monkeypatch.setattr(simhash, "SHORT_RUN", 3)
-        monkeypatch.setattr(simhash, "MAX_TILED", 10**9)
+        monkeypatch.setattr(simhash, "BROADCAST_TILED", 0)
     found = simhash.connected_components(simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long")))
     root = {p: p for p in signed}
 
@@ -229,6 +229,36 @@ def test_simhash_by_brute_force(spark, docs, monkeypatch, tiled):
         assert all(int(r["fingerprint"], 16) == brute_fingerprint(texts[r["doc_id"]]) for r in simhash.near_duplicates(docs).collect())
 
 
+@pytest.mark.parametrize("edges", [200_000, 3])
+def test_components_by_rounds(spark, monkeypatch, edges):
+    from tesserae.operators import components
+
+    monkeypatch.setattr(components, "ONE_TASK_EDGES", edges)
+    rng = random.Random(12)
+    pairs = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(50)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
+    root = {x: x for p in pairs for x in p}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    found = components.connected_components(spark.createDataFrame([*pairs, (None, 7), (5, 5)], "u long, v long"))
+    assert {r["node"]: r["root"] for r in found.collect()} == {x: top(x) for x in root if top(x) != x}
+
+
+def test_near_duplicates_go_by_row(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [(1, "first of all texts is this", "a"), (5, text, "b"), (7, text, "c"), (7, "a text of its own that has seven words", "d"), (None, text, "e"), (9, "nobody else says nine", "f"), (9, "nobody else says nine", "g"), (None, "an id is missing here but the text is new", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _fp2 string")
+    found = sorted((r["doc_id"] or 0, r["_fp2"]) for r in simhash.drop_near_duplicates(df).collect())
+    assert [x for x in found if x[0] != 9] == [(0, "h"), (1, "a"), (5, "b"), (7, "d")]
+    assert len(found) == 5 and df.columns == simhash.drop_near_duplicates(df).columns
+
+
 def test_context_tree_by_brute_force():
     rng, depth = random.Random(4), 2
     texts = [bytes(rng.choice(b"abca") for _ in range(rng.randint(0, 30))) for _ in range(20)]
