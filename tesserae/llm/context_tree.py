@@ -25,7 +25,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.dataset as pads
-import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +32,7 @@ from pyspark.sql import functions as F
 from ..functions.words import byte_runs, distinct, spans
 from ..functions.worker import release_memory, worker_store
 from ..sources.scratch import materialize, scratch_path
+from ..sources.shared import file_system
 
 #: Bytes of context at most; a context and its next byte must fit 7 bytes.
 DEPTH = 5
@@ -270,7 +270,7 @@ def _tabled(folder: str, depth: int, keys: np.ndarray, given: np.ndarray) -> Cal
             log2 = _log2(levels, parents, at, grams, given[:, np.searchsorted(keys, asked)[of]]).astype(np.float32)
             place, out = _place(grams), []
             for i in range(0, len(grams), SLICE_ROWS):
-                fs, path = pafs.FileSystem.from_uri(f"{folder}-{uuid.uuid4().hex}")
+                fs, path = file_system(f"{folder}-{uuid.uuid4().hex}")
                 part = place[i : i + SLICE_ROWS]
                 with fs.open_output_stream(path) as f:
                     f.write(part.tobytes() + log2[i : i + SLICE_ROWS].tobytes())
@@ -286,7 +286,7 @@ class Table:
     """Log2 probabilities of grams, read by slices of SLICE_ROWS at most."""
 
     def __init__(self, folder: str, slices: list[tuple[str, int, int, int]]):
-        self.fs, self.slices = pafs.FileSystem.from_uri(folder)[0], slices
+        self.fs, self.slices = file_system(folder)[0], slices
 
     def log2(self, grams: np.ndarray) -> np.ndarray:
         codes, own = pd.factorize(_place(grams))
@@ -332,7 +332,7 @@ class WordCounts:
     """Counts of frequent words by key."""
 
     def __init__(self, path: str):
-        fs, at = pafs.FileSystem.from_uri(path)
+        fs, at = file_system(path)
         rows = pads.dataset(at, filesystem=fs, format="parquet").to_table(columns=["key", "n"])
         keys = rows["key"].to_numpy()
         order = np.argsort(keys)
@@ -353,7 +353,7 @@ def _scorer(folder: str, slices: list[tuple[str, int, int, int]], head: str, dep
     """Scores rows (doc_id, text, held_out); ``total`` is the base model's denominator."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, counts = Table(folder, slices), worker_store(f"words:{head}", lambda: WordCounts(head))
+        tree, counts = Table(folder, slices), worker_store("words", head, lambda: WordCounts(head))
         for batch, texts in _chunks(batches, SCORE_CHARS):
             n = len(texts)
             _, grams, first, _ = sequences(texts, depth)

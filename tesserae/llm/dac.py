@@ -13,7 +13,6 @@ number of chunks (u64), the chunks (u8), the bitmap (lowest bit first) and the d
 from __future__ import annotations
 
 import array
-import gc
 import json
 import struct
 import sys
@@ -22,14 +21,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.words import look_up
-from ..functions.worker import worker_store
+from ..functions.worker import no_collection, worker_store
 from ..sources.scratch import materialize, scratch_path
+from ..sources.shared import file_system
 
 MAGIC = b"DAC1"
 CHUNK_BITS = 8
@@ -231,11 +230,9 @@ def _writer(tokenizer: str, folder: str, end_id: int):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        gc.freeze()
-        gc.disable()  # the memos hold millions of strings and no cycles
-        encoder = worker_store(f"dac:{tokenizer}", lambda: Encoder(tokenizer))
+        encoder = worker_store("dac", tokenizer, lambda: Encoder(tokenizer))
         task = TaskContext.get()
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = file_system(folder)
         end, made = np.array([end_id], np.uint32), 0
         doc_ids: list[int | None] = []
         held: list[np.ndarray] = []
@@ -254,16 +251,17 @@ def _writer(tokenizer: str, folder: str, end_id: int):
 
         rows = ((i.as_py(), t.as_py() or "") for b in batches for i, t in zip(b.column(0), b.column(1)))
         n = 0
-        for some in _some(rows, ENCODE_CHARS):
-            for (doc_id, _), ids in zip(some, encoder.encode([t for _, t in some])):
-                doc_ids.append(doc_id)
-                held.append(ids)
-                n += len(ids) + 1
-                if n >= SEGMENT_TOKENS:
-                    yield flush()
-                    n = 0
-        if doc_ids:
-            yield flush()
+        with no_collection():
+            for some in _some(rows, ENCODE_CHARS):
+                for (doc_id, _), ids in zip(some, encoder.encode([t for _, t in some])):
+                    doc_ids.append(doc_id)
+                    held.append(ids)
+                    n += len(ids) + 1
+                    if n >= SEGMENT_TOKENS:
+                        yield flush()
+                        n = 0
+            if doc_ids:
+                yield flush()
 
     return write
 
@@ -279,14 +277,17 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     written = ordered.mapInArrow(_writer(tokenizer, folder, end_id), "part long, segment long, path string, n_docs long, n_tokens long")
     manifest = materialize(written, "manifest")
-    before = Window.orderBy("part", "segment").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    own = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = manifest.groupBy(F.col("part").alias("_part")).agg(F.sum("n_tokens").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    placed = manifest.withColumn("_own", F.coalesce(F.sum("n_tokens").over(own), F.lit(0))).join(parts, F.col("part") == F.col("_part"))
+    return placed.withColumn("base", F.col("_before") + F.col("_own")).drop("_part", "_before", "_own")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            fs, at = pafs.FileSystem.from_uri(path)
+            fs, at = file_system(path)
             with fs.open_input_file(at) as f:
                 dac = DacFile(f.read())
             starts = dac.starts.astype(np.int64)

@@ -24,14 +24,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as pads
-import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.words import byte_runs, distinct, look_up, spans
-from ..functions.worker import release_memory, worker_store
+from ..functions.worker import no_collection, release_memory, worker_store
 from ..sources.scratch import materialize, scratch_path
+from ..sources.shared import file_system
 
 SPACE = "▁"
 MARKS = ".,"
@@ -144,7 +144,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int, with_keys: bool = Fa
 
 
 def _table(path: str) -> PieceTable:
-    return worker_store(f"pieces:{path}", lambda: PieceTable(path))
+    return worker_store("pieces", path, lambda: PieceTable(path))
 
 
 def _count_units(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -254,7 +254,7 @@ class Dictionary:
     """Paths of units by the hash of the unit, from the table in the shared folder."""
 
     def __init__(self, path: str):
-        fs, at = pafs.FileSystem.from_uri(path)
+        fs, at = file_system(path)
         rows = pads.dataset(at, filesystem=fs, format="parquet").to_table(columns=["hash", "ids"]).combine_chunks()
         ids = rows["ids"].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
@@ -311,22 +311,19 @@ class Encoder:
 
 def _encode_rows(model: str, dictionary: str, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gc
-
-        gc.freeze()
-        gc.disable()  # the memos hold many strings and no cycles
         table = _table(model)
-        encoder = worker_store(f"units:{dictionary}", lambda: Encoder(table, Dictionary(dictionary)))
-        for keys, texts in _chunks(batches, 1, with_keys=True):
-            ids = encoder.encode(texts)
-            size = pa.array([len(x) for x in ids], pa.int64())
-            same = pa.array([table.decode(x.tolist()) == t for x, t in zip(ids, texts)], pa.bool_())
-            if whole:
-                flat = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)
-                offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(offsets, pa.array(flat)), size, same], ["doc_id", "ids", "n_ids", "round_trip"])
-            else:
-                yield pa.RecordBatch.from_arrays([keys, size, pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), same], ["doc_id", "n_ids", "ids_crc32", "round_trip"])
+        encoder = worker_store("units", dictionary, lambda: Encoder(table, Dictionary(dictionary)))
+        with no_collection():
+            for keys, texts in _chunks(batches, 1, with_keys=True):
+                ids = encoder.encode(texts)
+                size = pa.array([len(x) for x in ids], pa.int64())
+                same = pa.array([table.decode(x.tolist()) == t for x, t in zip(ids, texts)], pa.bool_())
+                if whole:
+                    flat = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)
+                    offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(offsets, pa.array(flat)), size, same], ["doc_id", "ids", "n_ids", "round_trip"])
+                else:
+                    yield pa.RecordBatch.from_arrays([keys, size, pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), same], ["doc_id", "n_ids", "ids_crc32", "round_trip"])
         release_memory()
 
     return encode
