@@ -52,7 +52,7 @@ ORACLES: dict[str, str] = {
             FROM (SELECT rid, lab, unnest(range(2, len(lab) + 1)) AS n FROM hk WHERE len(lab) >= 2)
             UNION ALL SELECT rid, host, 1 FROM hk WHERE len(lab) < 2
             UNION ALL SELECT rid, host || '/' || array_to_string(seg[1:n], '/'), 1000 + n
-            FROM (SELECT rid, host, seg, unnest(range(1, least(len(seg), 2) + 1)) AS n FROM hk)
+            FROM (SELECT rid, host, seg, unnest(range(1, len(seg) + 1)) AS n FROM hk)
         ), d AS (
             SELECT DISTINCT key, rank, ('0x' || substr(md5(key), 1, 6))::BIGINT AS h FROM k
         ), t AS (

@@ -20,6 +20,10 @@ from .toxicity import severity, train
 from .url_filters import filter_captures, url_keys
 
 
+#: More path segments than a URL has.
+ANY_DEPTH = 1 << 30
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,7 +42,7 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     a year, after the start of 2024; the list is made of the pages' own keys by their md5: some
     are blocked on a day, some of these come off 60 days later, and some paths are allowed."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.timestamp_seconds(1704067200 + 3600 * (F.col("page_id") % 8760)).alias("fetched_at"))
-    keys = pages.select(F.explode(url_keys(F.col("url"))).alias("k")).select(F.col("k.key").alias("entry"), F.col("k.rank").alias("rank")).distinct()
+    keys = pages.select(F.explode(url_keys(F.col("url"), ANY_DEPTH)).alias("k")).select(F.col("k.key").alias("entry"), F.col("k.rank").alias("rank")).distinct()
     number = F.conv(F.substring(F.md5("entry"), 1, 6), 16, 10).cast("long")
     keys = keys.withColumn("h", number).withColumn("since", F.timestamp_seconds(1704067200 + 86400 * (F.col("h") % 300)))
     block = keys.filter("h % 7 = 0").select("entry", F.lit("block").alias("action"), "since")
