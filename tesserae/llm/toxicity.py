@@ -199,12 +199,17 @@ def _fit_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> OrdinalModel:
-    """Fit on the labelled sample in one task; the sample's size is bounded by SAMPLE_PER_LABEL."""
+    """Fit on the labelled sample in one task; the sample's size is bounded by SAMPLE_PER_LABEL.
+
+    An id labelled twice counts as toxic if one label says so; of rows that repeat an id the least
+    text is read.  Null ids and other labels are left out; without any label nothing is toxic.
+    """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).filter("_id IS NOT NULL AND y IN (0, 1)").groupBy("_id").agg(F.max("y").alias("y"))
     of = lambda y: known.filter(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_PER_LABEL)
     sample = F.broadcast(of(0).unionByName(of(1)))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(sample, "_id")
-    told = texts.select("_id", "text", "y").repartition(1).mapInArrow(_fit_sample, "model string").collect()
+    one = texts.groupBy("_id", "y").agg(F.min("text").alias("text"))
+    told = one.select("_id", "text", "y").repartition(1).mapInArrow(_fit_sample, "model string").collect()
     return OrdinalModel.from_json(told[0]["model"]) if told else OrdinalModel({}, tuple(float(9 + k) for k in range(GRADES)))
 
 
@@ -232,7 +237,11 @@ def severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that aren't toxic, with all columns; nothing shuffles."""
+    """The rows of ``docs`` that aren't toxic, with all columns; nothing shuffles.
+
+    A null or empty text stays unless the thresholds alone call it toxic; rows that repeat are
+    told alike, an id isn't looked at, and a very long text is read whole.
+    """
     column = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

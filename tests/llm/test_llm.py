@@ -110,14 +110,60 @@ def test_ablations(docs):
         assert r["kept_without"] == sum(b & mask & ~own == 0 for b in bits)
 
 
+def deviation(plan, weights):
+    """The most that a source is away from its share after any slot of the first phase."""
+    total, ran, worst = sum(weights.values()), dict.fromkeys(weights, 0), 0.0
+    for t, (s, _, slot, phase) in enumerate(plan, 1):
+        if phase:
+            break
+        assert slot == t - 1
+        ran[s] += 1
+        worst = max(worst, *(abs(ran[x] - w / total * t) for x, w in weights.items()))
+    return worst
+
+
 def test_schedule_deviates_by_less_than_a_block():
     rng = random.Random(1)
     for _ in range(50):
-        shares = mixing.round_weights({f"s{i}": rng.random() ** 3 + 1e-4 for i in range(rng.randint(1, 9))}, rng.choice([10, 37, 1000]))
-        period, ran = sum(shares.values()), dict.fromkeys(shares, 0)
-        for t, s in enumerate(mixing.schedule(shares), 1):
-            ran[s] += 1
-            assert all(abs(ran[x] - shares[x] * t / period) < 1 for x in shares)
+        weights = {f"s{i}": rng.random() ** 3 + 1e-4 for i in range(rng.randint(2, 9))}
+        blocks = {s: rng.randint(1, 300) for s in weights}
+        plan = mixing.schedule(blocks, weights)
+        assert sorted((s, b) for s, b, _, _ in plan) == sorted((s, b) for s, n in blocks.items() for b in range(n))
+        assert deviation(plan, weights) < 1
+    weights = {"a": 0.12345, "b": 0.87655}
+    assert deviation(mixing.schedule({"a": 123_450, "b": 876_550}, weights), weights) < 1
+
+
+def plain_schedule(blocks, weights):
+    """Slot by slot: of the released next blocks of all sources the one that is due first."""
+    from fractions import Fraction
+
+    done, out = dict.fromkeys(blocks, 0), []
+    while live := sorted((s for s in blocks if done[s] < blocks[s]), key=lambda s: (s is None, s or "")):
+        share = {s: Fraction(weights[s]) / sum(Fraction(weights[x]) for x in live) for s in live}
+        start, now = dict(done), 0
+        while all(done[s] < blocks[s] for s in live):
+            i = {s: done[s] - start[s] for s in live}
+            able = [s for s in live if math.floor(i[s] / share[s]) <= now]
+            s = min(able, key=lambda s: math.ceil((i[s] + 1) / share[s]))
+            out.append((s, done[s]))
+            done[s] += 1
+            now += 1
+    return out
+
+
+def test_mixing_by_brute_force(spark, odd):
+    for df in (spark.read.parquet(f"{SF}/documents.parquet"), odd):
+        rows = df.select("*", F.xxhash64("doc_id").alias("_h"), F.xxhash64(*df.columns).alias("_w")).collect()
+        of = collections.defaultdict(list)
+        for r in rows:
+            key = r["_w"] if r["doc_id"] is None else r["_h"]
+            of[r["source"]].append((key % 2**64 >> 33, key, r["doc_id"] or 0, r["_w"], r["doc_id"]))
+        weights = mixing.default_weights({s: len(x) for s, x in of.items()})
+        plan = plain_schedule({s: -(-len(x) // 3) for s, x in of.items()}, weights)
+        told = [r[4] for s, b in plan for r in sorted(of[s])[3 * b : 3 * b + 3]]
+        found = mixing.mix(df, block_rows=3).orderBy("position").collect()
+        assert [r["doc_id"] for r in found] == told
 
 
 def test_mixing_keeps_all_rows_at_target(docs):
@@ -151,6 +197,16 @@ def test_deep_list_entries_act(spark):
     assert found == {1: "allow", 2: "block", 3: "pass"}
 
 
+def test_paths_keep_their_case_and_ties_have_an_order(spark):
+    rows = [(1, "http://A.com/Docs/x", "2024-02-01"), (2, "http://a.com/docs/x", "2024-02-01"), (2, "http://a.com/docs/x", "2024-02-01"), (None, "http://u:p@b.com:80//p//q/?x#y", "2024-02-01"), (3, "http://c.com/" + "s/" * 3000, "2024-02-01"), (4, "", None)]
+    pages = spark.createDataFrame([(*r, "k", 1, 2) for r in rows], "id int, url string, at string, key string, rank int, rid int")
+    events = [("A.com/Docs/", "block", "2024-01-15"), ("b.com/p/q", "block", "2024-01-15"), ("b.com/p/q", "allow", "2024-01-15"), ("c.com/" + "s/" * 2000, "block", "2024-01-15")]
+    listed = spark.createDataFrame(events, "entry string, action string, since string").withColumn("since", F.to_timestamp("since"))
+    found = sorted((r["id"] or 0, r["verdict"]) for r in url_filters.filter_captures(pages, listed, "id", "url", "at").collect())
+    assert found == [(0, "allow"), (1, "block"), (2, "pass"), (2, "pass"), (3, "block"), (4, "pass")]
+    assert url_filters.filter_captures(pages.limit(0), listed, "id", "url", "at").count() == 0
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
