@@ -255,15 +255,17 @@ class Dictionary:
 
     def __init__(self, path: str):
         fs, at = file_system(path)
-        rows = pads.dataset(at, filesystem=fs, format="parquet").to_table(columns=["hash", "ids"]).combine_chunks()
-        ids = rows["ids"].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-        keys = rows["hash"].to_numpy()
-        order = np.argsort(keys, kind="stable")
-        offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
-        self.keys, self.first, self.end = keys[order], offsets[:-1][order].astype(np.int64), offsets[1:][order].astype(np.int64)
-        self.values = values.astype("<u4").tobytes()
-        del rows, ids, keys, values, offsets
+        keys, size, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], []
+        for batch in pads.dataset(at, filesystem=fs, format="parquet").to_batches(columns=["hash", "ids"]):
+            keys.append(batch.column(0).to_numpy())
+            size.append(np.diff(batch.column(1).offsets.to_numpy()))
+            values.append(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes())
+        hashes, sizes = np.concatenate(keys), np.concatenate(size)
+        order = np.argsort(hashes, kind="stable")
+        ends = np.cumsum(sizes, dtype=np.int64)
+        self.keys, self.end, self.size = hashes[order], ends[order].astype(np.uint32), sizes[order].astype(np.uint8)
+        self.values = b"".join(values)
+        del keys, size, values, hashes, sizes, order, ends
         release_memory()
 
     def find(self, units: list[str]) -> list[bytes | None]:
@@ -274,8 +276,8 @@ class Dictionary:
         hashes = np.frombuffer(b"".join([digest(u.encode(), SEED) for u in units]), ">i8").astype(np.int64)
         at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
         known = self.keys[at] == hashes
-        a, b, values = (4 * self.first[at]).tolist(), (4 * self.end[at]).tolist(), self.values
-        return [values[x:y] if ok else None for x, y, ok in zip(a, b, known.tolist())]
+        ends, values = 4 * self.end[at].astype(np.int64), self.values
+        return [values[x:y] if ok else None for x, y, ok in zip((ends - 4 * self.size[at].astype(np.int64)).tolist(), ends.tolist(), known.tolist())]
 
 
 class Encoder:
