@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import difflib
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType, DoubleType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType
 
 from ..thresholds import DEFAULT, Thresholds
 from .lets import let
@@ -153,3 +154,50 @@ def sentence_boundary(text: Column, at: Column) -> Column:
 
 def band(similarity: Column, duplicate: float, similar: float) -> Column:
     return F.when(similarity >= duplicate, "duplicate").when(similarity >= similar, "similar").otherwise("new")
+
+
+def around(text: Column, at: Column, reach: int = 100) -> Column:
+    """The characters from ``reach`` before position ``at`` (0-based) to ``reach`` after it."""
+    start = F.greatest(at - reach, F.lit(0))
+    return F.substring(text, start + 1, at + reach - start)
+
+
+def base_name(path: Column) -> Column:
+    """What follows the last slash."""
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def extension(path: Column) -> Column:
+    """What follows the last dot of the base name, in lower case; empty without a dot inside it."""
+    return F.lower(F.regexp_extract(base_name(path), r".\.([^.]*)$", 1))
+
+
+def timestamp_forms(at: Column) -> list[Column]:
+    """A time as text: plain, ISO with microseconds, and ISO with the zone UTC."""
+    iso = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return [F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("plain"), iso.alias("iso"), F.concat(iso, F.lit("+00:00")).alias("iso_utc")]
+
+
+def token_counter(encode) -> Callable[[Column], Column]:
+    """Exact token counts: ``encode`` gives the ids of a text, as a tokenizer does; null counts as none."""
+
+    @pandas_udf(LongType())
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(encode(t)) if t else 0).astype("int64")
+
+    return count
+
+
+def truncate_tokens(text: Column, limit: int = 32_768) -> Column:
+    """About the first ``limit`` tokens, at four characters each."""
+    return F.substring(text, 1, 4 * limit)
+
+
+def token_truncator(encode, decode, limit: int = 32_768) -> Callable[[Column], Column]:
+    """Exactly the first ``limit`` tokens, decoded again; a text of no more tokens stays as it is."""
+
+    @pandas_udf(StringType())
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or len(ids := encode(t)) <= limit else decode(ids[:limit]))
+
+    return cut

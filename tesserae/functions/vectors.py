@@ -32,6 +32,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(same, F.when(both == 0, F.lit(0.0)).otherwise(dot(a, b) / both))
 
 
+def cosine_or_nan(a: Column, b: Column) -> Column:
+    """Cosine; not a number if either vector is zero, null if the dimensions differ."""
+    both = norm(a) * norm(b)
+    return F.when(F.size(a) != F.size(b), F.lit(None).cast("double")).otherwise(F.when(both == 0, F.lit(float("nan"))).otherwise(dot(a, b) / both))
+
+
 def valid(v: Column, size: int | None = None) -> Column:
     """Not null, not empty, not all zero, without NaN, and of the given size."""
     sized = F.size(v) == size if size else F.size(v) > 0

@@ -9,10 +9,37 @@ from pyspark.sql import functions as F
 PRICES = [
     ("gpt-4o", 2.50, 10.00, 0.0015, 0.0008, "high"),
     ("gpt-4o-mini", 0.15, 0.60, 0.0008, 0.0004, "low"),
+    ("gpt-4.1", 3.00, 12.00, 0.0016, 0.0009, "high"),
+    ("gpt-4.1-mini", 0.20, 0.80, 0.0009, 0.0005, "low"),
+    ("o1", 15.00, 60.00, 0.0018, 0.0010, "high"),
     ("o1-mini", 3.00, 12.00, 0.0012, 0.0006, "low"),
+    ("o3", 15.00, 75.00, 0.0020, 0.0011, "high"),
+    ("o3-mini", 3.50, 14.00, 0.0013, 0.0007, "low"),
+    ("llama-3.3-70b-versatile", 0.10, 0.30, 0.0010, 0.0005, "low"),
+    ("meta-llama/llama-4-scout-17b-16e-instruct", 0.40, 0.80, 0.0012, 0.0006, "low"),
 ]
 #: Tokens per day by tier.
 DAILY_LIMITS = [("high", 250_000), ("low", 2_500_000)]
+#: Models listed by tier, with or without a price.
+TIERS = {
+    "high": ["gpt-4.5-preview", "gpt-4.1", "gpt-4o", "o1", "o3"],
+    "low": ["gpt-4.1-mini", "gpt-4.1-nano", "gpt-4o-mini", "o1-mini", "o3-mini", "o4-mini", "codex-mini-latest", "llama-3.3-70b-versatile", "meta-llama/llama-4-scout-17b-16e-instruct"],
+}
+#: Provider, task, subtask (empty: none) and model; the task "default" is for all others.
+MODELS = [
+    ("openai", "pdf_parsing", "vision", "gpt-4.1-mini"),
+    ("openai", "pdf_parsing", "text", "gpt-4.1-mini"),
+    ("openai", "chunking", "", "gpt-4.1-mini"),
+    ("openai", "requirement_extraction", "", "gpt-4.1-mini"),
+    ("openai", "deduplication", "", "gpt-4.1-mini"),
+    ("openai", "default", "", "gpt-4.1-mini"),
+    ("groq", "pdf_parsing", "vision", "meta-llama/llama-4-scout-17b-16e-instruct"),
+    ("groq", "pdf_parsing", "text", "llama-3.3-70b-versatile"),
+    ("groq", "chunking", "", "llama-3.3-70b-versatile"),
+    ("groq", "requirement_extraction", "", "llama-3.3-70b-versatile"),
+    ("groq", "deduplication", "", "llama-3.3-70b-versatile"),
+    ("groq", "default", "", "llama-3.3-70b-versatile"),
+]
 
 
 def usage_per_day(calls: DataFrame) -> DataFrame:
@@ -22,11 +49,40 @@ def usage_per_day(calls: DataFrame) -> DataFrame:
 
 
 def with_prices(usage: DataFrame) -> DataFrame:
-    """Cost, energy and CO2 of usage rows, by each row's model."""
-    prices = F.broadcast(usage.sparkSession.createDataFrame(PRICES, "_model string, _in double, _out double, _energy double, _co2 double, tier string"))
+    """Cost, energy and CO2 of usage rows, by each row's model; null for one without a price.
+
+    The tier is that of the list, else that of the price, else low.
+    """
+    priced = {p[0]: p[1:] for p in PRICES}
+    listed = {m: tier for tier, models in TIERS.items() for m in models}
+    known = [(m, *priced.get(m, (None, None, None, None, None))[:4], listed.get(m) or priced[m][4]) for m in sorted({*priced, *listed})]
+    prices = F.broadcast(usage.sparkSession.createDataFrame(known, "_model string, _in double, _out double, _energy double, _co2 double, tier string"))
     joined = usage.join(prices, F.col("model") == F.col("_model"), "left")
     cost = (F.col("input_tokens") * F.col("_in") + F.col("output_tokens") * F.col("_out")) / 1e6
-    return joined.select(*usage.columns, F.round(cost, 6).alias("cost"), F.round(F.col("total_tokens") * F.col("_energy"), 6).alias("energy_wh"), F.round(F.col("total_tokens") * F.col("_co2"), 6).alias("co2_g"), F.coalesce("tier", F.lit("low")).alias("tier"))
+    energy, co2 = F.col("total_tokens") * F.col("_energy"), F.col("total_tokens") * F.col("_co2")
+    return joined.select(*usage.columns, F.round(cost, 6).alias("cost"), F.round(energy, 6).alias("energy_wh"), F.round(co2, 6).alias("co2_g"), F.coalesce("tier", F.lit("low")).alias("tier"))
+
+
+def model_for_task(tasks: DataFrame) -> DataFrame:
+    """``tasks`` (``provider, task, sub_task``) with ``model``: that of the subtask, else of the task,
+    else the provider's default; an unknown provider is the first one."""
+    models = F.broadcast(tasks.sparkSession.createDataFrame(MODELS, "_provider string, _task string, _sub string, _model string"))
+    first = MODELS[0][0]
+    names = sorted({m[0] for m in MODELS})
+    provider = F.when(F.col("provider").isin(*names), F.col("provider")).otherwise(F.lit(first))
+    at = lambda task, sub, name: models.select(F.col("_provider").alias(f"p{name}"), F.col("_task").alias(f"t{name}"), F.col("_sub").alias(f"s{name}"), F.col("_model").alias(name)).filter((F.col(f"t{name}") == task) if task is not None else F.lit(True)).filter((F.col(f"s{name}") == sub) if sub is not None else F.lit(True))
+    exact, whole, default = at(None, None, "exact"), at(None, "", "whole"), at("default", "", "other")
+    keyed = tasks.withColumn("_p", provider).withColumn("_s", F.coalesce("sub_task", F.lit("")))
+    found = keyed.join(exact, (F.col("_p") == F.col("pexact")) & (F.col("task") == F.col("texact")) & (F.col("_s") == F.col("sexact")), "left")
+    found = found.join(whole, (F.col("_p") == F.col("pwhole")) & (F.col("task") == F.col("twhole")), "left").join(default, F.col("_p") == F.col("pother"), "left")
+    return found.select(*tasks.columns, F.coalesce("exact", "whole", "other").alias("model"))
+
+
+def usage_on(usage: DataFrame, day: str) -> DataFrame:
+    """``model, input_tokens, output_tokens, total_tokens`` of one day, and the sums with a null model."""
+    own = usage.filter(F.col("date") == F.lit(day).cast("date"))
+    sums = [F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "total_tokens")]
+    return own.rollup("model").agg(*sums)
 
 
 def tier_limits(usage: DataFrame) -> DataFrame:
@@ -68,6 +124,24 @@ def latest_runs(results: DataFrame) -> DataFrame:
     return results.groupBy("scenario_id").agg(F.max("ts").alias("ts"), F.max_by("passed", "ts").alias("passed"))
 
 
+def scenario_rates(results: DataFrame) -> DataFrame:
+    """``scenario_id, runs, passed, rate`` of ``scenario_id, passed``; a null result hasn't passed."""
+    passed = F.sum(F.coalesce(F.col("passed"), F.lit(False)).cast("long"))
+    return results.groupBy("scenario_id").agg(F.count(F.lit(1)).alias("runs"), passed.alias("passed")).withColumn("rate", F.round(F.col("passed") / F.col("runs"), 6))
+
+
+def scenario_table(lines: DataFrame, document: str, passed: str, failed: str) -> DataFrame:
+    """``source, section, documents, passed`` of log lines ``source, section, line_no, text``.
+
+    ``document`` is a pattern whose first group is a document's name: the distinct ones, in the
+    order in which they come up, by commas.  A section passes if a line matches ``passed`` and none ``failed``.
+    """
+    told = lines.withColumn("doc", F.nullif(F.regexp_extract("text", document, 1), F.lit("")))
+    each = told.groupBy("source", "section", "doc").agg(F.min("line_no").alias("at"), F.bool_or(F.col("text").rlike(passed)).alias("p"), F.bool_or(F.col("text").rlike(failed)).alias("f"))
+    named = F.filter(F.array_sort(F.collect_list(F.struct("at", "doc"))), lambda x: x["doc"].isNotNull())
+    return each.groupBy("source", "section").agg(F.array_join(F.transform(named, lambda x: x["doc"]), ",").alias("documents"), (F.bool_or("p") & ~F.bool_or("f")).alias("passed"))
+
+
 def mismatches(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     """``key, column, expected, actual`` where asserted values differ; null asserts nothing."""
     columns = [c for c in expected.columns if c != key]
@@ -107,9 +181,12 @@ def chunk_summaries(chunks: DataFrame) -> DataFrame:
 
 
 def html_table(df: DataFrame, title: str, limit: int = 1000) -> str:
-    """A report page of an aggregated result; a report shows up to ``limit`` rows."""
+    """A report page of an aggregated result; it shows up to ``limit`` rows, and says so if there are more."""
     from html import escape
 
+    rows = df.limit(limit + 1).collect()
+    more = f"<p>The first {limit} rows of {df.count()}.</p>" if len(rows) > limit else ""
+
     cells = lambda row, tag: "".join(f"<{tag}>{escape('' if x is None else str(x))}</{tag}>" for x in row)
-    body = "".join(f"<tr>{cells(r, 'td')}</tr>" for r in df.limit(limit).collect())
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><table><tr>{cells(df.columns, 'th')}</tr>{body}</table></body></html>"
+    body = "".join(f"<tr>{cells(r, 'td')}</tr>" for r in rows[:limit])
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><table><tr>{cells(df.columns, 'th')}</tr>{body}</table>{more}</body></html>"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import band
-from ..functions.vectors import dot, mean_vector, neighbours, normalize, valid
+from ..functions.vectors import BLOCK_ROWS, dot, mean_vector, neighbours, normalize, valid
 from ..thresholds import DEFAULT, Thresholds
 
 
@@ -49,6 +49,41 @@ def document_pairs(pages: DataFrame, size: int) -> DataFrame:
     return a.join(b, F.col("document") < F.col("other")).select("document", "other", F.round(dot(F.col("va"), F.col("vb")), 6).alias("avg_similarity"))
 
 
+def document_extremes(pages: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``document, other, best, average, n``: over all page pairs of two documents, where the best
+    similarity is above ``least``.
+
+    Blocks of pages meet in a grid, and each cell passes on sums for the documents it holds.
+    """
+    import numpy as np
+    import pandas as pd
+
+    own = pages.filter(valid(F.col("vec"))).select("grp", normalize(F.col("vec")).alias("vec"), F.xxhash64("id").alias("_h"))
+    blocks = -(-pages.count() // block_rows) or 1
+    block = F.pmod(F.col("_h"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = own.select(F.col("grp").alias("grp"), F.col("vec").alias("vec"), block.alias("i"), every.alias("j"))
+    right = own.select(F.col("grp").alias("grp"), F.col("vec").alias("vec"), every.alias("i"), block.alias("j"))
+
+    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"document": [], "other": [], "best": [], "total": [], "n": []}).astype({"document": "int64", "other": "int64", "n": "int64"})
+        matrix = np.stack(list(a["vec"])) @ np.stack(list(b["vec"])).T
+        (of_a, x), (of_b, y) = (np.unique(side["grp"].to_numpy(), return_inverse=True) for side in (a, b))
+        best = np.full((len(of_a), len(of_b)), -np.inf)
+        by_a = np.full((len(of_a), matrix.shape[1]), -np.inf)
+        np.maximum.at(by_a, x, matrix)
+        np.maximum.at(best.T, y, by_a.T)
+        ones_a, ones_b = (np.eye(len(of))[at] for of, at in ((of_a, x), (of_b, y)))
+        total, n = ones_a.T @ matrix @ ones_b, np.outer(ones_a.sum(0), ones_b.sum(0))
+        i, j = np.nonzero(of_a[:, None] < of_b[None, :])
+        return pd.DataFrame({"document": of_a[i], "other": of_b[j], "best": best[i, j], "total": total[i, j], "n": n[i, j].astype("int64")})
+
+    cells = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(cell, "document long, other long, best double, total double, n long")
+    sums = cells.groupBy("document", "other").agg(F.round(F.max("best"), 6).alias("best"), F.round(F.sum("total") / F.sum("n"), 6).alias("average"), F.sum("n").alias("n"))
+    return sums.filter(F.col("best") > least)
+
+
 def nearest_documents(pages: DataFrame, size: int, t: Thresholds = DEFAULT) -> DataFrame:
     """Document-level match: the most similar other document vector, with its band."""
     docs = document_vectors(pages, size).select(F.col("document").cast("long").alias("id"), F.col("document").alias("grp"), "vec")

@@ -50,13 +50,15 @@ _EDGES = """
     )"""
 _CALLS = """
     calls AS (
-        SELECT DATE '2024-01-01' + (conv_id % 30)::INT AS date, ['gpt-4o', 'gpt-4o-mini', 'o1-mini'][conv_id % 3 + 1] AS model,
+        SELECT DATE '2024-01-01' + (conv_id % 30)::INT AS date, ['gpt-4o', 'gpt-4o-mini', 'gpt-4.1', 'gpt-4.1-mini', 'o1', 'o1-mini', 'o3', 'o3-mini', 'llama-3.3-70b-versatile', 'meta-llama/llama-4-scout-17b-16e-instruct', 'gpt-4.5-preview', 'unheard-of'][conv_id % 12 + 1] AS model,
                CASE WHEN role = 'user' THEN length(text) // 4 ELSE 0 END AS i, CASE WHEN role = 'assistant' THEN length(text) // 4 ELSE 0 END AS o
         FROM conversations
     ), daily AS (
         SELECT date, model, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, (sum(i) + sum(o))::BIGINT AS total_tokens FROM calls GROUP BY 1, 2
     ), prices(model, pin, pout, energy, co2, tier) AS (
-        VALUES ('gpt-4o', 2.5::DOUBLE, 10::DOUBLE, 0.0015::DOUBLE, 0.0008::DOUBLE, 'high'), ('gpt-4o-mini', 0.15, 0.6, 0.0008, 0.0004, 'low'), ('o1-mini', 3, 12, 0.0012, 0.0006, 'low')
+        VALUES ('gpt-4o', 2.5::DOUBLE, 10::DOUBLE, 0.0015::DOUBLE, 0.0008::DOUBLE, 'high'), ('gpt-4o-mini', 0.15, 0.6, 0.0008, 0.0004, 'low'), ('gpt-4.1', 3, 12, 0.0016, 0.0009, 'high'),
+               ('gpt-4.1-mini', 0.2, 0.8, 0.0009, 0.0005, 'low'), ('o1', 15, 60, 0.0018, 0.001, 'high'), ('o1-mini', 3, 12, 0.0012, 0.0006, 'low'), ('o3', 15, 75, 0.002, 0.0011, 'high'), ('o3-mini', 3.5, 14, 0.0013, 0.0007, 'low'),
+               ('llama-3.3-70b-versatile', 0.1, 0.3, 0.001, 0.0005, 'low'), ('meta-llama/llama-4-scout-17b-16e-instruct', 0.4, 0.8, 0.0012, 0.0006, 'low'), ('gpt-4.5-preview', NULL, NULL, NULL, NULL, 'high')
     )"""
 _LOG = """
     lines AS (SELECT user_id % 50 AS source, event_id AS line_no, event_type AS text FROM events),
@@ -150,9 +152,9 @@ ORACLES: dict[str, str] = {
         SELECT chunk_id FROM lin WHERE chunk_id NOT IN (SELECT chunk_id FROM q) AND (duplicate_of IS NULL OR duplicate_of NOT IN (SELECT chunk_id FROM q))""",
     "usage_daily": f"WITH {_CALLS} SELECT * FROM daily",
     "usage_cost_energy": f"""
-        WITH {_CALLS} SELECT d.*, round((input_tokens * pin + output_tokens * pout) / 1e6, 6) AS cost, round(total_tokens * energy, 6) AS energy_wh, round(total_tokens * co2, 6) AS co2_g, tier FROM daily d JOIN prices USING (model)""",
+        WITH {_CALLS} SELECT d.*, round((input_tokens * pin + output_tokens * pout) / 1e6, 6) AS cost, round(total_tokens * energy, 6) AS energy_wh, round(total_tokens * co2, 6) AS co2_g, coalesce(tier, 'low') AS tier FROM daily d LEFT JOIN prices USING (model)""",
     "usage_tier_limits": f"""
-        WITH {_CALLS}, t AS (SELECT date, tier, sum(total_tokens)::BIGINT AS used, CASE tier WHEN 'high' THEN 250000 ELSE 2500000 END::BIGINT AS token_limit FROM daily JOIN prices USING (model) GROUP BY 1, 2)
+        WITH {_CALLS}, t AS (SELECT date, coalesce(tier, 'low') AS tier, sum(total_tokens)::BIGINT AS used, CASE coalesce(tier, 'low') WHEN 'high' THEN 250000 ELSE 2500000 END::BIGINT AS token_limit FROM daily LEFT JOIN prices USING (model) GROUP BY 1, 2)
         SELECT *, round(100 * used / token_limit, 4) AS percent, round(100 * used / token_limit, 4) > 80 AS warning FROM t""",
     "pages_to_document_text": """
         WITH t AS (SELECT conv_id AS document_id, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) || chr(10) || chr(10) AS x FROM conversations GROUP BY 1)
@@ -189,10 +191,10 @@ ORACLES: dict[str, str] = {
         c AS (SELECT grp, count(*) AS total, sum((status = 'duplicate')::INT)::BIGINT AS duplicate, sum((status = 'similar')::INT)::BIGINT AS updated, sum((status = 'new')::INT)::BIGINT AS new FROM s GROUP BY 1)
         SELECT *, CASE WHEN updated > 0 THEN 'new version' WHEN duplicate = total THEN 'complete duplicate' WHEN duplicate > 0 THEN 'partial duplicate' ELSE 'completely new' END AS verdict FROM c""",
     "chunk_classify_vector": f"""
-        WITH {_KNN}, q AS (SELECT vec_id AS id, vec_id // 10 AS h FROM embeddings WHERE vec_id % 4 = 1),
-        st AS (SELECT vec_id AS id, vec_id // 10 AS h FROM embeddings WHERE vec_id % 4 = 0 AND vec_id % 3 = 0),
+        WITH {_KNN}, hs AS (SELECT vec_id AS id, CASE WHEN vec_id // 2 % 3 = 0 THEN 'p' || (vec_id // 2) ELSE vec_id::VARCHAR END AS h FROM embeddings), q AS (SELECT * FROM hs WHERE id % 2 = 1),
+        st AS (SELECT * FROM hs WHERE id % 2 = 0),
         f AS (SELECT h, min(id) AS same FROM st GROUP BY 1),
-        v AS (SELECT q_id, r_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, r_id) AS k FROM near WHERE r_id % 4 = 0 AND r_id % 3 = 0) WHERE k = 1)
+        v AS (SELECT q_id, r_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY similarity DESC, r_id) AS k FROM near WHERE r_id % 2 = 0) WHERE k = 1)
         SELECT q.id, CASE WHEN same IS NOT NULL OR similarity >= 0.48 THEN 'duplicate' WHEN similarity >= 0.40 THEN 'update' ELSE 'new' END AS status, coalesce(same, r_id) AS match_id,
                CASE WHEN same IS NOT NULL THEN 1.0::DOUBLE ELSE similarity END AS similarity
         FROM q LEFT JOIN f USING (h) LEFT JOIN v ON q.id = v.q_id""",
@@ -206,7 +208,7 @@ ORACLES: dict[str, str] = {
     "word_count_difference": r"""
         WITH c AS (SELECT doc_id AS key, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))::BIGINT AS words_a, len(list_filter(string_split_regex(regexp_replace(text, '^[^\n]*\n?', ''), '\s+'), lambda w: w <> ''))::BIGINT AS words_b FROM documents)
         SELECT *, CASE WHEN greatest(words_a, words_b) > 0 THEN round(100 * abs(words_a - words_b) / greatest(words_a, words_b), 4) ELSE 0 END::DOUBLE AS percent FROM c""",
-    "required_files": "SELECT n_nationkey AS name FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9900",
+    "required_files": "SELECT doc_id AS name FROM documents EXCEPT SELECT doc_id FROM labels",
     "requirement_batches": "SELECT source AS document_id, doc_id AS requirement_id, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 3)::BIGINT AS batch FROM documents",
     "requirement_id_offset": """
         SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lpad((doc_id + 5)::VARCHAR, greatest(3, length((doc_id + 5)::VARCHAR))::INT, '0') ELSE 'R' || doc_id || '-5' END AS requirement_id FROM documents""",
@@ -222,3 +224,7 @@ ORACLES: dict[str, str] = {
     "capability_summary": "SELECT bool_or(event_id % 3 = 0 AND user_id > 0) AS any_new, bool_or(event_id % 3 = 1 AND user_id > 0) AS any_duplicate, false AS any_similar, false AS any_updated FROM events",
     "pages_per_document": "SELECT conv_id AS document_id, count(*) AS pages, count(DISTINCT role) AS roles FROM conversations GROUP BY 1",
 }
+
+from . import lookup_oracles  # noqa: E402  (uses the parts above)
+
+ORACLES |= lookup_oracles.ORACLES

@@ -277,7 +277,8 @@ def requirement_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = F.floor(F.length("text") / 4).cast("long")
-    model = F.element_at(F.array(*[F.lit(p[0]) for p in reports.PRICES]), (F.col("conv_id") % 3 + 1).cast("int"))
+    names = [p[0] for p in reports.PRICES] + ["gpt-4.5-preview", "unheard-of"]
+    model = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("conv_id") % len(names) + 1).cast("int"))
     rows = table(spark, sf_dir, "conversations").select(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") % 30).cast("int")).alias("date"), model.alias("model"), "role", tokens.alias("n"))
     return rows.select("date", "model", F.when(F.col("role") == "user", F.col("n")).otherwise(F.lit(0)).alias("input_tokens"), F.when(F.col("role") == "assistant", F.col("n")).otherwise(F.lit(0)).alias("output_tokens"))
 
@@ -400,8 +401,10 @@ def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chunk_classify_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pages(spark, sf_dir).withColumn("hash", F.md5(F.floor(F.col("id") / 10).cast("string")))
-    return versions.classify_chunks(p.filter("id % 4 = 1"), p.filter("id % 4 = 0 AND id % 3 = 0"), SCALED)
+    """Odd pages arrive, even ones are stored; every third pair of neighbours has equal hashes."""
+    half = F.floor(F.col("id") / 2)
+    p = pages(spark, sf_dir).withColumn("hash", F.md5(F.when(half % 3 == 0, F.concat(F.lit("p"), half.cast("string"))).otherwise(F.col("id").cast("string"))))
+    return versions.classify_chunks(p.filter("id % 2 = 1"), p.filter("id % 2 = 0"), SCALED)
 
 
 @query
@@ -444,8 +447,9 @@ def overlap_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def required_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = lambda n: table(spark, sf_dir, n)
-    return ingest.missing_files(name("nation").select(F.col("n_nationkey").alias("name")), name("customer").filter("c_acctbal > 9900").select(F.col("c_nationkey").alias("name")))
+    """Documents stand for required files, and labelled ones for those that are available."""
+    required, available = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return ingest.missing_files(required.select(F.col("doc_id").alias("name")), available.select(F.col("doc_id").alias("name")))
 
 
 @query
@@ -502,3 +506,6 @@ def capability_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pages_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("document_id")).agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("role").alias("roles"))
+
+
+from . import lookup_queries  # noqa: E402, F401  (registers its queries here)

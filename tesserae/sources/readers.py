@@ -27,6 +27,10 @@ def _column(reference: str) -> int:
     return max(n - 1, 0)
 
 
+#: The attribute of a sheet that names its file's relationship.
+_REL_ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
 def workbook_rows(data: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
     """``(sheet, row, cells)`` of a workbook's stored values; formulas give their last result."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -35,11 +39,17 @@ def workbook_rows(data: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
         if "xl/sharedStrings.xml" in names:
             root = ElementTree.fromstring(z.read("xl/sharedStrings.xml"))
             shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in root.findall("m:si", _NS)]
-        sheets = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).findall("m:sheets/m:sheet", _NS)]
-        for k, sheet in enumerate(sheets, 1):
-            if f"xl/worksheets/sheet{k}.xml" not in names:
+        sheets = ElementTree.fromstring(z.read("xl/workbook.xml")).findall("m:sheets/m:sheet", _NS)
+        targets: dict[str | None, str] = {}
+        if "xl/_rels/workbook.xml.rels" in names:
+            for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+                target = r.get("Target", "")
+                targets[r.get("Id")] = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+        for k, found in enumerate(sheets, 1):
+            sheet, file = found.get("name"), targets.get(found.get(_REL_ID), f"xl/worksheets/sheet{k}.xml")
+            if file not in names:
                 continue
-            for row in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{k}.xml")).iter(f"{{{_NS['m']}}}row"):
+            for row in ElementTree.fromstring(z.read(file)).iter(f"{{{_NS['m']}}}row"):
                 cells: list[str | None] = []
                 for c in row.findall("m:c", _NS):
                     at = _column(c.get("r", "")) if c.get("r") else len(cells)

@@ -201,7 +201,7 @@ def test_ingestion_stops_early_and_aligns_versions(spark):
     files = lambda *rows: spark.createDataFrame(list(rows), "path string, content string")
     first = "The valve shall close within two seconds of the signal, and the pump shall stop at once."
     dry = run(files(("a", first)), root, stop_after=Stage.CHUNK, dry_run=True)
-    assert set(dry.made) == {"file_hashes", "documents", "document_chunks"} and tables.current_version(spark, f"{root}/documents") == ""
+    assert set(dry.made) == {"file_hashes", "documents", "document_verdicts", "document_chunks"} and tables.current_version(spark, f"{root}/documents") == ""
     run(files(("a", first), ("b", first)), root)
     assert tables.read_table(spark, f"{root}/file_hashes").count() == 1
     again = run(files(("a", first)), root)
@@ -250,3 +250,59 @@ def test_overlap_fallback_by_brute_force(spark):
     want = {k: round(n / total[k[1]], 6) for k, n in want.items() if n and n / total[k[1]] >= DEFAULT.chunk_fraction}
     found = chunking.overlap_fallback(spark.createDataFrame(docs, "document_id long, text string"), spark.createDataFrame(rows, "document_id long, chunk_id string, chunk_text string"))
     assert {(r["document_id"], r["other_id"]): r["fraction"] for r in found.collect()} == want and len(want) > 4
+
+
+def test_tables_are_listed_deleted_recreated_and_restored(spark):
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    folder = scratch_path(spark, "some")
+    path = f"{folder}/a"
+    schema = StructType([StructField("id", LongType())])
+    assert tables.list_tables(spark, folder) == [] and tables.create_table(spark, path, schema) and tables.create_table(spark, path, schema)
+    assert not tables.create_table(spark, path, StructType([StructField("x", LongType())]))
+    for k in range(3):
+        tables.append_table(spark.range(4 * k, 4 * k + 4), path)
+    tables.delete_rows(spark, path, F.col("id") == 5)
+    tables.append_table(spark.createDataFrame([(None,)], "id long"), path)
+    assert tables.read_table(spark, path).count() == 12
+    tables.delete_rows(spark, path, F.col("id") > 7)
+    ids = {r["id"] for r in tables.read_table(spark, path).collect()}
+    assert ids == {None, 0, 1, 2, 3, 4, 6, 7}
+    with pytest.raises(ValueError):
+        tables.change_table(spark, path, lambda df: df.limit(0), lambda df: df.count() == 8)
+    assert tables.read_table(spark, path).count() == 8
+    tables.change_table(spark, path, lambda df: df.withColumn("vec", F.array_repeat(F.lit(0.0), 3)))
+    assert tables.read_table(spark, path).columns == ["id", "vec"] and tables.read_table(spark, path).count() == 8
+    tables.append_table(spark.range(1), f"{folder}/b")
+    assert tables.clear_tables(spark, folder) == ["a", "b"] and tables.read_table(spark, path).count() == 0
+    assert tables.recreate_tables(spark, folder, {"c": schema}) == ["a", "b"] and tables.list_tables(spark, folder) == ["c"]
+    assert tables.drop_table(spark, f"{folder}/c") and not tables.drop_table(spark, f"{folder}/c")
+
+
+def test_requirements_of_a_document_and_model_usage(spark, tmp_path):
+    path = scratch_path(spark, "req")
+    tables.append_table(spark.createDataFrame([("a", "x"), ("b' OR '1'='1", "y")], "document_id string, d string"), path)
+    assert tables.requirements(spark, path).count() == 2
+    assert [r["d"] for r in tables.requirements(spark, path, "b' OR '1'='1").collect()] == ["y"]
+    (tmp_path / "m.json").write_text('{"m1": {"input": 5, "output": 7},\n "m2": {"input": 1, "output": 0}}')
+    found = {tuple(r) for r in tables.read_model_usage(spark, f"file://{tmp_path}/m.json").collect()}
+    assert found == {("m1", 5, 7), ("m2", 1, 0)}
+    (tmp_path / "u.csv").write_text("date,model,input_tokens,output_tokens,total_tokens,cost\n2024-01-01,m,1,2,3,0.5\nodd line\n")
+    rows = tables.read_usage_csv(spark, f"file://{tmp_path}/u.csv").collect()
+    assert len(rows) == 2 and [r["malformed"] for r in rows] == [None, "odd line"]
+
+
+def test_token_functions_and_cosines(spark):
+    from tesserae.functions import text, vectors
+
+    df = spark.createDataFrame([("a b c d", [1.0, 0.0], [1.0, 1.0]), ("", [0.0, 0.0], [1.0, 1.0]), (None, [1.0], [1.0, 1.0])], "t string, a array<double>, b array<double>")
+    words = lambda t: t.split()
+    got = df.select(text.token_counter(words)("t").alias("n"), text.token_truncator(words, " ".join, 2)("t").alias("cut"), vectors.cosine_or_nan(F.col("a"), F.col("b")).alias("c")).collect()
+    assert [r["n"] for r in got] == [4, 0, 0] and [r["cut"] for r in got] == ["a b", "", None]
+    assert got[0]["c"] == pytest.approx(0.5**0.5) and got[1]["c"] != got[1]["c"] and got[2]["c"] is None
+
+
+def test_pages_without_a_number_come_last(spark):
+    rows = [("d", 10000, "b"), ("d", None, "c"), ("d", 2, "a")]
+    df = spark.createDataFrame(rows, "document_id string, page_number int, content string")
+    assert ingest.document_text(df, "|").first()["text"] == "a|b|c"
