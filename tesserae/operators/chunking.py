@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blended, chunk_text, jaccard, may_be_similar, offsets, ratio_reaches, sequence_ratio, word_set
+from ..sources.scratch import materialize
 from ..thresholds import DEFAULT, Thresholds
+from .hot_join import likely_ids
 
 #: Chunks of like lengths are dealt over so many blocks, each compared with all documents of such lengths.
 CHUNK_BLOCKS = 8
@@ -95,20 +97,30 @@ def shared_word_pairs(rows: DataFrame, least: float) -> DataFrame:
 
     An inverted index over each text's rarest words, a prefix that two similar sets must
     share: of a set of n words, n - ceil(least * n) + 1.  Words are ordered by frequency,
-    so that frequent words are in no prefix unless a text has few others.
+    so that frequent words are in no prefix unless a text has few others.  Lengths, and the words
+    left after a shared one in either prefix, bound the overlap before sets are compared.  Words are
+    64-bit hashes from the first step on; each text is read once.
     """
-    own = rows.groupBy(F.md5("text").alias("_hash")).agg(F.min_by("text", "id").alias("text"), F.min("id").alias("id"))
-    sets = own.select("id", word_set(F.col("text")).alias("ws")).filter(F.size("ws") > 0)
-    words = sets.select("id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    first = rows.groupBy(F.md5("text").alias("_hash")).agg(F.min("id").alias("_first")).select("_first")
+    own = likely_ids(rows, "id", first).join(first, F.col("id") == F.col("_first"), "left_semi")
+    sets = own.select("id", F.transform(word_set(F.col("text")), lambda w: F.xxhash64(w)).alias("ws")).filter(F.size("ws") > 0)
+    sets = materialize(sets, "word_sets")
+    words = sets.select("id", F.explode("ws").alias("w"))
     frequency = words.groupBy("w").agg(F.count(F.lit(1)).alias("f"))
-    ranked = words.join(frequency, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("fw"), F.first("n").alias("n"))
-    prefix = F.slice("fw", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least - F.lit(1e-9)) + 1).cast("int"))
-    index = ranked.select("id", "n", F.explode(prefix).alias("x")).select("id", "n", F.col("x.w").alias("w"))
-    a, b = index.select("w", F.col("id").alias("id_a"), F.col("n").alias("n_a")), index.select("w", F.col("id").alias("id_b"), F.col("n").alias("n_b"))
+    ranked = words.join(frequency, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "w"))).alias("fw"))
+    n = F.size("fw")
+    prefix = F.slice("fw", F.lit(1), (n - F.ceil(n * least - F.lit(1e-9)) + 1).cast("int"))
+    index = materialize(ranked.select("id", n.alias("n"), F.posexplode(prefix).alias("at", "x")).select("id", "n", "at", F.col("x.w").alias("w")), "prefixes")
+    side = lambda s: index.select("w", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "at")])
+    overlap = (F.col("n_a") + F.col("n_b")) * (least / (1 + least)) - 1e-9
     near = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9) & (F.col("id_a") < F.col("id_b"))
-    candidates = a.join(b, "w").filter(near).select("id_a", "id_b").distinct()
+    left = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    # In both prefixes words come in one order: of a pair's shared words the first one meets the bound.
+    candidates = side("a").join(side("b"), "w").filter(near & (left >= overlap)).select("id_a", "id_b").distinct()
     full = candidates.join(sets.select(F.col("id").alias("id_a"), F.col("ws").alias("wa")), "id_a").join(sets.select(F.col("id").alias("id_b"), F.col("ws").alias("wb")), "id_b")
-    return full.select("id_a", "id_b", F.round(jaccard(F.col("wa"), F.col("wb")), 6).alias("jaccard")).filter(F.col("jaccard") >= least)
+    shared = F.size(F.array_intersect("wa", "wb"))
+    similarity = F.round(shared / (F.size("wa") + F.size("wb") - shared), 6)
+    return full.select("id_a", "id_b", similarity.alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
 def missing_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
