@@ -36,7 +36,7 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (r0 OR r1) AS base_failed,
                (r0::BIGINT + 2 * r1::BIGINT + 4 * r2::BIGINT + 8 * r3::BIGINT + 16 * r4::BIGINT + 32 * r5::BIGINT + 64 * r6::BIGINT)::BIGINT AS fail_bits,
-               NOT (r0 OR r1 OR r2 OR r3 OR r4 OR r5 OR r6) AS kept
+               NOT (r0 OR r1 OR r2 OR r3 OR r4 OR r5 OR r6) AS kept, n_lines, n_letters, n_upper
         FROM f
     """,
     "op3_url_filters": r"""
@@ -79,3 +79,11 @@ ORACLES: dict[str, str] = {
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
 }
+
+_RULES = "('too_short', 1), ('repeated_windows', 2), ('duplicate_lines', 4), ('symbol_heavy', 8), ('word_length', 16), ('few_letters', 32), ('shouting', 64)"
+ORACLES["quality_ablations"] = f"""
+    WITH led AS ({ORACLES["op2_quality_rules"]}), r(rule, b) AS (VALUES {_RULES})
+    SELECT rule, coalesce(sum((fail_bits & b <> 0)::INT), 0)::BIGINT AS failed, coalesce(sum((fail_bits = b)::INT), 0)::BIGINT AS only_rejected_by,
+           coalesce(sum((fail_bits & (127 - b) = 0)::INT), 0)::BIGINT AS kept_without
+    FROM r LEFT JOIN led ON true GROUP BY 1
+"""

@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
 from .collinear import repeated_passages
 from .context_tree import score
 from .dac import token_files
 from .exact_dedup import exact_dedup
 from .mixing import mix
-from .quality_rules import apply_policy, ledger
+from .quality_rules import ablations, apply_policy, ledger
 from .sentencepiece_lattice import encode_digests
 from .simhash import near_duplicates
 from .toxicity import severity, train
@@ -34,7 +35,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = apply_policy(ledger(_table(spark, sf_dir, "documents")))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "fail_bits", "kept")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "fail_bits", "kept", "n_lines", "n_letters", "n_upper")
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule rejects, from the stored ledger: texts are read once, when it is written."""
+    return ablations(materialize(ledger(_table(spark, sf_dir, "documents")), "ledger"))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,4 +98,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_passages": op8_repeated_passages,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
+    "quality_ablations": quality_ablations,
 }

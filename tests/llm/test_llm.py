@@ -56,6 +56,50 @@ def test_whole_tables(spark, name):
     assert rows.count() == 200 or name == "op8_repeated_passages"
 
 
+def test_severity_by_brute_force(spark, docs):
+    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = {d["doc_id"]: d["text"] for d in docs.collect()}
+    assert model.weights
+    for r in QUERIES["op4_toxicity"](spark, SF).collect():
+        words = collections.Counter(re.findall(r"[a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), texts[r["doc_id"]])))
+        found = collections.Counter()
+        for w, n in words.items():
+            raw = w.encode()
+            for f in {f"={w}", *(f"{w[:k]}-" for k in toxicity.PREFIXES if len(w) > k)}:
+                found[f] += n
+            assert raw.decode() == w
+        z = sum(model.weights[f] * math.log1p(n) for f, n in found.items() if f in model.weights)
+        p = [1 / (1 + math.exp(t - z)) for t in model.thresholds]
+        assert r["expected_severity"] == pytest.approx(sum(p)) and r["p_toxic"] == pytest.approx(p[0])
+        assert (r["grade"], r["toxic"]) == (sum(x >= 0.5 for x in p), p[0] >= toxicity.THRESHOLD)
+
+
+def test_fit_is_an_optimum():
+    rng = random.Random(14)
+    counts = [collections.Counter({f"={w}": rng.randint(1, 4) for w in rng.sample("abcde", 3)}) for _ in range(150)]
+    grades = np.array([min(c["=a"] // 2 + rng.randint(0, 1), 3) for c in counts])
+    names, l2 = [f"={w}" for w in "abcde"], 0.01
+    model = toxicity.fit(counts, grades, names, l2=l2)
+
+    def loss(weights, thresholds):
+        above = sum(g > 0 for g in grades)
+        total = 0.0
+        for c, g in zip(counts, grades):
+            z = sum(weights[f] * math.log1p(n) for f, n in c.items())
+            own = sum(math.log1p(math.exp(t - z)) if g >= k else math.log1p(math.exp(z - t)) for k, t in enumerate(thresholds, 1))
+            total += own * 0.5 / (above if g else len(grades) - above)
+        return total + l2 / 2 * sum(w * w for w in weights.values())
+
+    best = loss(model.weights, model.thresholds)
+    for f in names:
+        for step in (-0.05, 0.05):
+            assert loss(model.weights | {f: model.weights[f] + step}, model.thresholds) > best - 1e-6
+    for k in range(3):
+        for step in (-0.05, 0.05):
+            moved = [t + step * (i == k) for i, t in enumerate(model.thresholds)]
+            assert loss(model.weights, moved) > best - 1e-6
+
+
 def ops(frame, labels):
     model = toxicity.train(frame, labels)
     return {
