@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import blended, chunk_text, jaccard, may_be_similar, offsets, ratio_reaches, sequence_ratio, word_set
 from ..sources.scratch import materialize
 from ..thresholds import DEFAULT, Thresholds
-from .hot_join import likely_ids
+from .hot_join import join_counted, likely_ids
 
 #: Chunks of like lengths are dealt over so many blocks, each compared with all documents of such lengths.
 CHUNK_BLOCKS = 8
@@ -30,9 +30,10 @@ def chunks_with_offsets(docs: DataFrame, splitter: Callable[[Column], Column] =
 
 
 def first_occurrences(rows: DataFrame) -> DataFrame:
-    """Chunks with the document and place of their hash's first occurrence."""
-    first = rows.groupBy(F.col("chunk_hash").alias("_hash")).agg(F.min(F.struct("document_id", "chunk_index")).alias("first"))
-    joined = rows.join(first, F.col("chunk_hash") == F.col("_hash")).drop("_hash")
+    """Chunks with the document and place of their hash's first occurrence; frequent hashes are split."""
+    total = rows.count()
+    first = rows.groupBy("chunk_hash").agg(F.min(F.struct("document_id", "chunk_index")).alias("first"), F.count(F.lit(1)).alias("_n"))
+    joined = join_counted(rows, materialize(first, "first", total), "chunk_hash", "_n", total).drop("_n")
     own = (F.col("first.document_id") == F.col("document_id")) & (F.col("first.chunk_index") == F.col("chunk_index"))
     return joined.withColumn("is_duplicate", ~own)
 
