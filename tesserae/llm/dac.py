@@ -47,8 +47,9 @@ MEMO_ENTRIES = 600_000
 STABLE_ASCII, UNSTABLE = b"\n" + bytes(range(0x20, 0x7F)), r"[^À-ɏ–—‘’“”…€]"
 #: Texts with such white space aren't cut.
 UNCUT = ("  ", " \n", "\n ", "\n\n")
-#: So many parts are encoded as one text.
-JOINED = 500
+#: So many parts are encoded as one text, and so many of these texts in one call: what the library
+#: gives for a token is larger than its id.
+JOINED, TOGETHER = 500, 40
 
 
 def encode_levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -173,14 +174,16 @@ class Encoder:
     def _joined(self, parts: list[bytes], between: str, leads: np.ndarray) -> list[bytes]:
         """Ids of parts encoded as one text, in which the ids in ``leads`` begin a new part."""
         found = []
-        joined = [between.join([p.decode() for p in parts[i : i + JOINED]]) for i in range(0, len(parts), JOINED)]
-        for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
-            packed = _packed(e.ids)
-            cuts = (4 * np.flatnonzero(leads[np.frombuffer(packed, np.uint32)])).tolist()
-            if between:
-                found += [packed[a:b] for a, b in zip([0, *[x + 4 for x in cuts]], [*cuts, len(packed)])]
-            else:
-                found += [packed[a:b] for a, b in zip(cuts, [*cuts[1:], len(packed)])]
+        for at in range(0, len(parts), JOINED * TOGETHER):
+            some = parts[at : at + JOINED * TOGETHER]
+            joined = [between.join([p.decode() for p in some[i : i + JOINED]]) for i in range(0, len(some), JOINED)]
+            for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+                packed = _packed(e.ids)
+                cuts = (4 * np.flatnonzero(leads[np.frombuffer(packed, np.uint32)])).tolist()
+                if between:
+                    found += [packed[a:b] for a, b in zip([0, *[x + 4 for x in cuts]], [*cuts, len(packed)])]
+                else:
+                    found += [packed[a:b] for a, b in zip(cuts, [*cuts[1:], len(packed)])]
         return found
 
     def _table(self, lead: int, words: list[bytes]) -> list[bytes]:
