@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
-from .oracles import _CALLS, _CHUNKS, _EDGES, _LINEAGE
+from .oracles import _CALLS, _CHUNKS, _EDGES, _LINEAGE, _SENT, _pack
 
 _EXACT = "SELECT * FROM (VALUES ('openai', 'pdf_parsing', 'vision', 'gpt-4.1-mini'), ('openai', 'pdf_parsing', 'text', 'gpt-4.1-mini'), ('groq', 'pdf_parsing', 'vision', 'meta-llama/llama-4-scout-17b-16e-instruct'), ('groq', 'pdf_parsing', 'text', 'llama-3.3-70b-versatile')) AS x(p, t, s, m)"
 
+_NN = "chr(10) || chr(10)"
+_START = """CASE WHEN instr(substr(t, acc[len(acc)].e + 1), x[1].c) > 0 THEN acc[len(acc)].e + instr(substr(t, acc[len(acc)].e + 1), x[1].c) - 1
+    WHEN instr(t, x[1].c) > 0 THEN instr(t, x[1].c) - 1 ELSE acc[len(acc)].e END"""
+
 ORACLES: dict[str, str] = {
+    "chunk_document": rf"""
+        WITH d AS (SELECT doc_id, text, list_filter(string_split(regexp_replace(text, '\n(#{{1,6}}\s+[^\n])', chr(1) || chr(10) || '\1', 'g'), chr(1)), lambda y: y <> '') AS hp FROM documents),
+        e AS (SELECT doc_id, text, {_pack("hp", 30000, "''", 0)} AS hs, {_pack(f"string_split(text, {_NN})", 30000, _NN, 2)} AS ps FROM d),
+        x AS (SELECT doc_id, CASE WHEN length(text) <= 30000 THEN [text] WHEN len(hs) > 1 THEN hs ELSE flatten(list_transform(ps, lambda q:
+                CASE WHEN length(q) <= 30000 THEN [q] ELSE list_transform(range(0, greatest(length(q), 1), 15000), lambda o: substr(q, o + 1, 15000)) END)) END AS ss FROM e),
+        s1 AS (SELECT doc_id, unnest(range(1, len(ss) + 1)) AS i, unnest(ss) AS s FROM x),
+        p0 AS (SELECT doc_id, i, CASE WHEN length(s) * 2 > 2700 THEN {_pack(f"string_split(s, {_NN})", 900, _NN, 2)} ELSE [s] END AS pp FROM s1),
+        p1 AS (SELECT doc_id, i, unnest(range(1, len(pp) + 1)) AS j, unnest(pp) AS text FROM p0),
+        c0 AS (SELECT doc_id, i, j, CASE WHEN length(text) <= 900 THEN [text] ELSE {_pack(f"string_split({_SENT}, chr(1))", 900, "' '", 1)} END AS cc FROM p1),
+        c1 AS (SELECT doc_id, i, j, unnest(range(1, len(cc) + 1)) AS k, unnest(cc) AS c FROM c0)
+        SELECT doc_id AS document_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, j, k) - 1)::INT AS chunk_index, md5(c) AS chunk_hash, length(c)::BIGINT AS n_chars
+        FROM c1 WHERE trim(regexp_replace(c, '\s+', ' ', 'g')) <> ''""",
+    "chunk_offsets": rf"""
+        WITH d AS (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS text FROM documents),
+        p AS (SELECT doc_id, text AS t, list_filter({_pack(f"string_split({_SENT}, chr(1))", 900, "' '", 1)}, lambda y: y <> '') AS cs FROM d),
+        o AS (SELECT doc_id, list_reduce(list_transform(list_concat([''], cs), lambda y: [{{'c': y, 's': 0::BIGINT, 'e': 0::BIGINT}}]), lambda acc, x:
+                list_concat(acc, [{{'c': x[1].c, 's': ({_START})::BIGINT, 'e': (({_START}) + length(x[1].c))::BIGINT}}])) AS os FROM p)
+        SELECT doc_id AS document_id, (i - 2)::INT AS chunk_index, os[i].s::INT AS start_offset, os[i].e::INT AS end_offset FROM (SELECT doc_id, os, unnest(range(2, len(os) + 1)) AS i FROM o)""",
     "document_first_page": """
         SELECT conv_id AS document_id, turn::BIGINT AS page_number, md5(text) AS hash
         FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations) WHERE n = 1""",
