@@ -178,7 +178,7 @@ def _count_units(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 codes, words = distinct(data, starts[at], ends[at])
                 for w, n in zip(words, np.bincount(codes, minlength=len(words)).tolist()):
                     parts[prefix + w] += n
-                if value == 10:
+                if value == 10 and len(at):
                     odd["\n"] += len(at)
             for t, x in zip(texts, plain):
                 if t and x is None:

@@ -646,3 +646,19 @@ def test_pipeline_by_brute_force(spark):
     found = corpus_pipeline.run(spark, sf).collect()
     assert {r["doc_id"] for r in found} == kept and len(found) == len(kept)
     assert all(table.decode(list(r["ids"])) == left[r["doc_id"]] and r["round_trip"] for r in found)
+
+
+def test_pipeline_stages_on_odd_rows_and_empty_tables(spark, odd):
+    import corpus_pipeline
+    from tesserae.sources.scratch import materialize
+
+    start = odd.select("doc_id", "text", "source", F.col("key").alias("lang"), F.col("n").alias("n_chars"))
+    for docs, kept in ((start, [2, 4, 6, 7, 8]), (start.limit(0), [])):
+        for name, stage in corpus_pipeline.STAGES:
+            made = materialize(stage(spark, docs, SF), name)
+            if name != "encoding":
+                assert made.columns == docs.columns and made.dtypes == docs.dtypes, name
+            docs = made
+        rows = docs.collect()
+        assert sorted(r["doc_id"] for r in rows) == kept
+        assert [r["round_trip"] for r in rows if r["doc_id"] == 8] == [False] * (8 in kept)
