@@ -153,9 +153,8 @@ class Encoder:
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = self.load(path)
         told = json.loads(self.tokenizer.to_str())
         kind = told.get("pre_tokenizer") or {}
         self.memoized = told.get("normalizer") is None and kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True)
@@ -168,6 +167,13 @@ class Encoder:
         self.spaced = np.array([t.startswith("Ġ") for t in known])
         self.line_ends = np.array([t == "Ċ" for t in known])
 
+    @staticmethod
+    def load(path: str):
+        """The library's tokenizer of a file."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 

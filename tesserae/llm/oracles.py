@@ -87,3 +87,66 @@ ORACLES["quality_ablations"] = f"""
            coalesce(sum((fail_bits & (127 - b) = 0)::INT), 0)::BIGINT AS kept_without
     FROM r LEFT JOIN led ON true GROUP BY 1
 """
+
+ORACLES["op11_divergence"] = r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+    ), w AS (
+        SELECT rid, lang, source, translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+        FROM (SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM d)
+    ), kept AS (
+        SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT rid) >= 10
+    ), g AS (
+        SELECT DISTINCT lang, source FROM d
+    ), c AS (
+        SELECT g.lang, g.source, k.term, count(w.rid) AS n FROM g JOIN kept k USING (lang) LEFT JOIN w ON w.lang = g.lang AND w.source = g.source AND w.term = k.term GROUP BY ALL
+    ), p AS (
+        SELECT *, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS p FROM c
+    ), l AS (
+        SELECT *, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS q
+        FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL)
+    ), pairs AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v, 0) AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN (SELECT x.lang, x.source AS s, y.source AS o, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS v
+                   FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) f ON f.lang = a.lang AND f.s = a.source AND f.o = b.source
+    ), terms AS (
+        SELECT p.lang, p.source, 'term' AS part, term AS item, (p.p - q) * (p.p - q) // (p.p + q) AS value FROM p JOIN l USING (lang, term) WHERE p.n > 0 AND p.p > q
+    )
+    SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+    FROM (FROM pairs UNION ALL FROM terms) QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+def _lloyd(rounds: int) -> str:
+    """Rounds of assignment and exact means, each a pair of tables."""
+    sql = """
+        kept AS (
+            SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), c0 AS (
+            SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1)::INT AS c, v FROM kept ORDER BY sha256('3:' || vec_id), v LIMIT 8
+        )"""
+    for r in range(rounds + 1):
+        sql += f""", a{r} AS MATERIALIZED (
+            SELECT rid, vec_id, min(d) AS d, arg_min(c, d * 8 + c) AS c FROM (
+                SELECT rid, vec_id, c, list_sum(list_transform(list_zip(k.v, c{r}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM kept k, c{r}
+            ) GROUP BY ALL
+        )"""
+        if r < rounds:
+            sql += f""", s{r} AS MATERIALIZED (
+            SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (
+                SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT a.c, unnest(k.v) AS x, generate_subscripts(k.v, 1) AS i FROM a{r} a JOIN kept k USING (rid)) GROUP BY c, i
+            ) GROUP BY c
+        ), c{r + 1} AS MATERIALIZED (
+            SELECT c{r}.c, coalesce(s{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN s{r} USING (c)
+        )"""
+    return f"""
+        WITH {sql}
+        SELECT vec_id, c AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+               sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} USING (c)
+    """
+
+
+ORACLES["op13_delta_lloyd"] = _lloyd(10)

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
+from .byte_bpe import round_trip
 from .collinear import repeated_passages
 from .context_tree import score
 from .dac import token_files
+from .delta_lloyd import cluster
+from .divergence import audit
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .quality_rules import ablations, apply_policy, ledger
@@ -87,6 +90,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).drop("same")
+
+
+def op13_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_quality_rules": op2_quality_rules,
@@ -98,5 +113,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_passages": op8_repeated_passages,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_divergence": op11_divergence,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_delta_lloyd": op13_delta_lloyd,
     "quality_ablations": quality_ablations,
 }
