@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import difflib
-from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType
+from pyspark.sql.types import DoubleType, LongType, StringType
 
 from ..thresholds import DEFAULT, Thresholds
 from .lets import let
@@ -104,35 +103,6 @@ def sequence_ratio(new: pd.Series, old: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(new, old)], dtype="float64")
 
 
-@pandas_udf(BooleanType())
-def ratio_reaches(new: pd.Series, old: pd.Series, least: pd.Series) -> pd.Series:
-    """Whether difflib's ratio of (new, old) is ``least`` or more.
-
-    Shared characters and the longest common subsequence bound it from above; neither loses a pair.
-    """
-
-    def common(a: str, b: str) -> int:
-        at: dict[str, int] = {}
-        for i, c in enumerate(a):
-            at[c] = at.get(c, 0) | 1 << i
-        full = (1 << len(a)) - 1
-        left = full
-        for c in b:
-            hit = left & at.get(c, 0)
-            left = (left + hit | left - hit) & full
-        return len(a) - left.bit_count()
-
-    def reaches(a: str | None, b: str | None, t: float) -> bool | None:
-        if a is None or b is None:
-            return None
-        size = len(a) + len(b)
-        if size and (2 * (Counter(a) & Counter(b)).total() / size < t or 2 * common(a, b) / size < t):
-            return False
-        return difflib.SequenceMatcher(None, a, b).ratio() >= t
-
-    return pd.Series([reaches(*x) for x in zip(new, old, least)], dtype="object")
-
-
 def blended(ratio: Column, words: Column, t: Thresholds = DEFAULT) -> Column:
     """Text similarity: the ratio if nearly identical, else blended with the words' Jaccard."""
     return F.when(ratio >= t.near_identical, ratio).otherwise(0.7 * ratio + 0.3 * words)

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blended, chunk_text, jaccard, may_be_similar, offsets, ratio_reaches, sequence_ratio, word_set
+from ..functions.ratio_kernel import Texts, blended_pairs, ratios
+from ..functions.text import chunk_text, offsets, word_set
 from ..sources.scratch import materialize
 from ..thresholds import DEFAULT, Thresholds
 from .hot_join import join_counted, likely_ids
 
-#: Chunks of like lengths are dealt over so many blocks, each compared with all documents of such lengths.
-CHUNK_BLOCKS = 8
+#: Texts of a band differ in length by less than this factor.
+BAND = 1.25
+#: Texts of a block, and characters of it where texts are long.
+BLOCK_TEXTS, BLOCK_CHARS = 1024, 4_000_000
+#: New and old chunks of a key that meet in one task, and chunks of keys that are dealt together.
+NEW_BLOCK, OLD_BLOCK, KEY_BLOCK = 512, 2048, 4096
+#: Members of a class of equal chunks are dealt over so many keys.
+SALTS = 8
 
 
 def chunks(docs: DataFrame, splitter: Callable[[Column], Column] = chunk_text) -> DataFrame:
@@ -55,17 +65,57 @@ def chunk_statistics(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("chunks"), F.min(n).cast("long").alias("min_chars"), F.max(n).cast("long").alias("max_chars"), F.round(F.avg(n), 6).alias("avg_chars"), F.min(t).cast("long").alias("min_tokens"), F.max(t).cast("long").alias("max_tokens"), F.round(F.avg(t), 6).alias("avg_tokens"))
 
 
-def similar_pairs(new: DataFrame, old: DataFrame, key: str, t: Thresholds = DEFAULT) -> DataFrame:
-    """Text similarity of new and old chunks that share ``key`` and may reach the review threshold.
+def similar_pairs(new: DataFrame, old: DataFrame, key: str, t: Thresholds = DEFAULT, first_only: bool = False) -> DataFrame:
+    """Pairs of chunks of one ``key`` whose text similarity is ``text_review`` or more: the key, ``new_id,
+    new_seq, new_text, old_id, old_seq, old_text, ratio, words, similarity``.
 
-    ``new`` and ``old`` are ``key, id, seq, text``.  The prefilter loses no pair of 0.75 or more.
+    ``new`` and ``old`` are ``key, id, seq, text``; rows with a null key or text are in no pair.  With
+    ``first_only`` a new chunk has at most one pair for each block of old chunks: the first by seq and
+    id that reaches the threshold, where its search ends.  Keys with few chunks are dealt over tasks
+    together; chunks of others meet in blocks, so that such a key is the work of many tasks.
     """
-    n = new.select(F.col(key), F.col("id").alias("new_id"), F.col("seq").alias("new_seq"), F.col("text").alias("new_text"), word_set(F.col("text")).alias("_nw"))
-    o = old.select(F.col(key).alias("_key"), F.col("id").alias("old_id"), F.col("seq").alias("old_seq"), F.col("text").alias("old_text"), word_set(F.col("text")).alias("_ow"))
-    pairs = n.join(o, F.col(key) == F.col("_key")).withColumn("words", jaccard(F.col("_nw"), F.col("_ow")))
-    pairs = pairs.filter(may_be_similar(F.col("new_text"), F.col("old_text"), F.col("words")))
-    ratio = pairs.withColumn("ratio", sequence_ratio("new_text", "old_text"))
-    return ratio.withColumn("similarity", blended(F.col("ratio"), F.col("words"), t)).drop("_key", "_nw", "_ow")
+    sides = [rows.filter(F.col(key).isNotNull() & F.col("text").isNotNull()).select(F.col(key).alias("key"), "id", "seq", "text") for rows in (new, old)]
+    marked = [rows.select("key", F.lit(int(i == 0)).alias("n"), F.lit(i).alias("o")) for i, rows in enumerate(sides)]
+    counts = marked[0].unionByName(marked[1]).groupBy("key").agg(F.sum("n").alias("n"), F.sum("o").alias("o")).filter("n > 0 AND o > 0")
+    counts = materialize(counts.withColumn("size", F.greatest("n", "o")), "chunks_of_keys")
+    total = counts.agg(F.sum(F.col("n") + F.col("o"))).first()[0] or 0
+
+    dealt_keys = -(-total // KEY_BLOCK) or 1
+
+    def dealt(which: int) -> DataFrame:
+        sized = join_counted(sides[which], counts, "key", "size", total)
+        blocks = [F.ceil(F.col(c) / limit).cast("int") for c, limit in (("n", NEW_BLOCK), ("o", OLD_BLOCK))]
+        large = (blocks[0] > 1) | (blocks[1] > 1)
+        mine = F.pmod(F.xxhash64("id"), blocks[which]).cast("int")
+        every = F.explode(F.sequence(F.lit(0), blocks[1 - which] - 1))
+        names = ("i", "j") if which == 0 else ("j", "i")
+        together = F.when(~large, F.pmod(F.xxhash64("key"), F.lit(dealt_keys)).cast("int"))
+        # New column ids, as both sides may come from one table.
+        return sized.select(*[F.col(c).alias(c) for c in ("key", "id", "seq", "text")], word_set(F.col("text")).alias("ws"), together.alias("together"), F.when(large, F.col("key")).alias("alone"), mine.alias(names[0]), every.alias(names[1]))
+
+    kind = {c: sides[0].schema[c].dataType.simpleString() for c in ("key", "id", "seq")}
+    schema = f"key {kind['key']}, " + ", ".join(f"{s}_id {kind['id']}, {s}_seq {kind['seq']}, {s}_text string" for s in ("new", "old")) + ", ratio double, words double, similarity double"
+
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = []
+        if len(a) and len(b):
+            codes = {k: i for i, k in enumerate(dict.fromkeys(b.column("key").to_pylist()))}
+            b = b.append_column("_code", pa.array([codes[k] for k in b.column("key").to_pylist()]))
+            b = b.sort_by([("_code", "ascending"), ("seq", "ascending"), ("id", "ascending")])
+            cuts = np.searchsorted(b.column("_code").to_numpy(), np.arange(len(codes) + 1)).tolist()
+            spans = [(cuts[c], cuts[c + 1]) if (c := codes.get(k)) is not None else (0, 0) for k in a.column("key").to_pylist()]
+            texts = [Texts(x.column("text").to_pylist()) for x in (a, b)]
+            words = tuple(list(map(set, x.column("ws").to_pylist())) for x in (a, b))
+            found = list(blended_pairs(*texts, words, spans, t.text_review, t.near_identical, first_only))
+        at = [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)]
+        columns = [a.column("key").take(at[0])]
+        columns += [x.column(c).take(p) for x, p in ((a, at[0]), (b, at[1])) for c in ("id", "seq", "text")]
+        columns += [pa.array([x[k] for x in found], pa.float64()) for k in (2, 3, 4)]
+        return pa.table(columns, ["key", "new_id", "new_seq", "new_text", "old_id", "old_seq", "old_text", "ratio", "words", "similarity"])
+
+    by = ("together", "alone", "i", "j")
+    pairs = dealt(0).groupBy(*by).cogroup(dealt(1).groupBy(*by)).applyInArrow(cell, schema)
+    return pairs.withColumnRenamed("key", key)
 
 
 def align_first_match(new: DataFrame, old: DataFrame, key: str, keep_new: Column | None = None, t: Thresholds = DEFAULT) -> DataFrame:
@@ -76,9 +126,9 @@ def align_first_match(new: DataFrame, old: DataFrame, key: str, keep_new: Column
     default) an update that replaces the reference.  No such reference leaves a chunk new.
     """
     decided = F.lit(True) if keep_new is None else keep_new
-    pairs = similar_pairs(new, old, key, t).filter(F.col("similarity") >= t.text_review)
+    pairs = similar_pairs(new, old, key, t, first_only=True)
     status = F.when(F.col("similarity") >= t.text_duplicate, "duplicate").when(decided, "updated").otherwise("duplicate")
-    first = pairs.withColumn("status", status).groupBy("new_id").agg(F.min_by(F.struct("status", "old_id", "similarity"), "old_seq").alias("m"))
+    first = pairs.withColumn("status", status).groupBy("new_id").agg(F.min_by(F.struct("status", "old_id", "similarity"), F.struct("old_seq", "old_id")).alias("m"))
     joined = new.select(F.col("id").alias("chunk_id")).join(first, F.col("chunk_id") == F.col("new_id"), "left")
     return joined.select("chunk_id", F.coalesce("m.status", F.lit("new")).alias("status"), F.col("m.old_id").alias("matched_chunk_id"), F.col("m.similarity").alias("similarity"))
 
@@ -151,19 +201,62 @@ def overlap_fallback(docs: DataFrame, chunks: DataFrame, t: Thresholds = DEFAULT
     """Documents against other documents' chunks by character ratio, where no vector decides.
 
     ``document_id, other_id, fraction``: the share of the other document's chunks whose ratio
-    to the whole text is ``chunk_ratio`` or more, from ``chunk_fraction`` on.  All pairs whose
-    lengths allow the ratio are compared, in blocks by length and by the chunk's hash.
+    to the whole text is ``chunk_ratio`` or more, from ``chunk_fraction`` on.  Of documents of equal
+    text the smallest id stands for all, as ``text_classes`` tells; a row with its own id as the
+    other tells how its copies compare with it.  Other documents are all there.  Null texts and null
+    chunks match nothing.
+
+    Distinct texts are compared in blocks: bands by length whose texts can reach the ratio, cut to
+    BLOCK_TEXTS texts or BLOCK_CHARS characters.  A text is sent once to each block that it meets.
     """
-    octave = lambda n: F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int")
-    size = octave(F.length("text"))
-    longest = chunks.agg(F.max(F.length("chunk_text"))).first()[0] or 0
-    able = docs.filter((F.length("text") <= longest) | (2 * longest >= t.chunk_ratio * (F.length("text") + longest) - 1e-6))
-    blocks = able.select("document_id", "text", F.explode(F.array(size - 1, size, size + 1)).alias("octave"))
-    blocks = blocks.select("*", F.explode(F.array(*[F.lit(i) for i in range(CHUNK_BLOCKS)])).alias("block"))
-    others = chunks.select(F.col("document_id").alias("other_id"), "chunk_id", "chunk_text", octave(F.length("chunk_text")).alias("octave"), F.pmod(F.xxhash64("chunk_id"), F.lit(CHUNK_BLOCKS)).cast("int").alias("block"))
-    n, m = F.length("text"), F.length("chunk_text")
-    allowed = 2 * F.least(n, m) >= t.chunk_ratio * (n + m) - 1e-6
-    pairs = blocks.join(others, ["octave", "block"]).filter((F.col("document_id") != F.col("other_id")) & allowed)
-    hits = pairs.filter(ratio_reaches("text", "chunk_text", F.lit(t.chunk_ratio))).groupBy("document_id", "other_id").agg(F.count(F.lit(1)).alias("hits"))
+    texts = docs.filter("text IS NOT NULL").select("document_id", F.md5("text").alias("key"))
+    classes = texts.groupBy("key").agg(F.min("document_id").alias("id"), (F.count(F.lit(1)) > 1).alias("copied"))
+    classes = materialize(classes, "text_classes")
+    told = chunks.filter("chunk_text IS NOT NULL").select("document_id", F.md5("chunk_text").alias("key"), "chunk_text")
+    members = materialize(told.groupBy("key", F.col("document_id").alias("other_id")).agg(F.count(F.lit(1)).alias("times")), "chunk_members")
+    own = docs.join(classes.select(F.col("id").alias("document_id"), F.col("key").alias("_key")), "document_id").filter(F.md5("text") == F.col("_key"))
+    left = own.select(F.col("_key").alias("key"), "text").dropDuplicates(["key"])
+    right = told.groupBy("key").agg(F.first("chunk_text").alias("text"))
+    near = reaching_pairs(left, right, t.chunk_ratio)
+    spread = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")
+    hits = near.join(classes.withColumnRenamed("key", "a"), "a").select("id", "copied", F.col("b").alias("key"), spread)
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("other_id"), F.lit(SALTS)).cast("int"))
+    pairs = hits.join(salted, ["key", "salt"]).filter((F.col("id") != F.col("other_id")) | F.col("copied"))
+    counted = pairs.groupBy("id", "other_id").agg(F.sum("times").alias("hits"))
     totals = chunks.groupBy(F.col("document_id").alias("_id")).agg(F.count(F.lit(1)).alias("total"))
-    return hits.join(totals, F.col("other_id") == F.col("_id")).select("document_id", "other_id", F.round(F.col("hits") / F.col("total"), 6).alias("fraction")).filter(F.col("fraction") >= t.chunk_fraction)
+    fraction = counted.join(totals, F.col("other_id") == F.col("_id")).withColumn("fraction", F.round(F.col("hits") / F.col("total"), 6))
+    return fraction.filter(F.col("fraction") >= t.chunk_fraction).select(F.col("id").alias("document_id"), "other_id", "fraction")
+
+
+def reaching_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """``a, b, ratio``: pairs of rows ``key, text`` of two tables whose ratio is ``least`` or more."""
+    band = F.floor(F.log(F.greatest(F.length("text"), F.lit(1)).cast("double")) / math.log(BAND)).cast("int")
+    reach = int(math.log((2 - least) / least) / math.log(BAND)) + 1
+    sides = [materialize(rows.select("key", "text", band.alias("band")), name) for rows, name in ((left, "left_texts"), (right, "right_texts"))]
+    sizes = []
+    for rows in sides:
+        # One row per band: bands grow with the logarithm of the longest text.
+        of = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text").cast("long")).alias("chars")).collect()
+        sizes.append({r["band"]: max(-(-r["n"] // BLOCK_TEXTS), -(-r["chars"] // BLOCK_CHARS), 1) for r in of})
+
+    def dealt(which: int) -> DataFrame:
+        mine, others = sizes[which], sizes[1 - which]
+        own_blocks = F.create_map(*[F.lit(x) for kv in mine.items() for x in kv]) if mine else F.create_map(F.lit(0), F.lit(1))
+        meets = {b: [(o, k) for o in range(b - reach, b + reach + 1) for k in [others.get(o)] if k] for b in mine}
+        pairs = [(b, o, k) for b, of in meets.items() for o, k in of]
+        table = left.sparkSession.createDataFrame(pairs, "band int, other int, blocks int")
+        rows = sides[which].join(F.broadcast(table), "band").withColumn("mine", F.pmod(F.xxhash64("key"), F.element_at(own_blocks, F.col("band"))).cast("int"))
+        rows = rows.withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        names = ("lb", "li", "rb", "ri") if which == 0 else ("rb", "ri", "lb", "li")
+        return rows.select(F.col("key").alias("key"), F.col("text").alias("text"), *[F.col(c).alias(n) for c, n in zip(("band", "mine", "other", "theirs"), names)])
+
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = []
+        if len(a) and len(b):
+            of_a, of_b = a.column("key").to_pylist(), b.column("key").to_pylist()
+            found = [(of_a[i], of_b[j], r) for i, j, r in ratios(Texts(a.column("text").to_pylist()), Texts(b.column("text").to_pylist()), least)]
+        columns = list(zip(*found)) or [[], [], []]
+        return pa.table([pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.string(), pa.float64()))], ["a", "b", "ratio"])
+
+    by = ("lb", "li", "rb", "ri")
+    return dealt(0).groupBy(*by).cogroup(dealt(1).groupBy(*by)).applyInArrow(cell, "a string, b string, ratio double")

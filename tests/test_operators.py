@@ -229,29 +229,6 @@ def test_stream_equals_batch(spark):
         assert sorted(r["path"] for r in ledger.collect()) == (["a", "c"] if k == 0 else ["a", "c", "e"])
 
 
-def test_overlap_fallback_by_brute_force(spark):
-    rng = random.Random(12)
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    docs, rows = [], []
-    for i in range(12):
-        words = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(22)]
-        edited = list(words)
-        for k in range(0, 22, 4):
-            edited[k] = edited[k][:-1] + "Q" + str(i)
-        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited))]
-    docs += [(100, "?!" * 30), (101, "?!" * 31), (102, "a" * 20)]
-    for i, text in docs:
-        rows += [(i, f"{i}_0", text)] + ([(i, f"{i}_1", text[:30])] if i % 3 == 0 else [])
-    want = collections.Counter()
-    for i, text in docs:
-        for j, _, chunk in rows:
-            want[i, j] += i != j and difflib.SequenceMatcher(None, text, chunk).ratio() >= DEFAULT.chunk_ratio
-    total = collections.Counter(r[0] for r in rows)
-    want = {k: round(n / total[k[1]], 6) for k, n in want.items() if n and n / total[k[1]] >= DEFAULT.chunk_fraction}
-    found = chunking.overlap_fallback(spark.createDataFrame(docs, "document_id long, text string"), spark.createDataFrame(rows, "document_id long, chunk_id string, chunk_text string"))
-    assert {(r["document_id"], r["other_id"]): r["fraction"] for r in found.collect()} == want and len(want) > 4
-
-
 def test_tables_are_listed_deleted_recreated_and_restored(spark):
     from pyspark.sql.types import LongType, StructField, StructType
 
