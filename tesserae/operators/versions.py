@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import band
 from ..functions.vectors import BLOCK_ROWS, dot, mean_vector, neighbours, normalize, valid
+from ..sources.scratch import materialize
 from ..thresholds import DEFAULT, Thresholds
+from .vector_index import similar_groups
 
 
 def classify_pages(pages: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
@@ -42,46 +46,61 @@ def document_vectors(pages: DataFrame, size: int) -> DataFrame:
     return units.groupBy("document").agg(mean_vector("vec", size).alias("vec"))
 
 
-def document_pairs(pages: DataFrame, size: int) -> DataFrame:
-    """Average cosine over all page pairs of two documents: the dot product of their mean unit vectors."""
+def document_pairs(pages: DataFrame, size: int, least: float | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Average cosine over all page pairs of two documents: the dot product of their mean unit vectors.
+
+    With ``least`` only pairs of at least that average are made: their documents' vectors have a cosine
+    as high, as means of unit vectors are no longer than 1.  Without, the report has a row for each pair,
+    made in a grid of blocks.
+    """
     means = document_vectors(pages, size)
-    a, b = means.select(F.col("document").alias("document"), F.col("vec").alias("va")), means.select(F.col("document").alias("other"), F.col("vec").alias("vb"))
-    return a.join(b, F.col("document") < F.col("other")).select("document", "other", F.round(dot(F.col("va"), F.col("vb")), 6).alias("avg_similarity"))
+    value = F.round(dot(F.col("va"), F.col("vb")), 6).alias("avg_similarity")
+    if least is not None:
+        means = materialize(means, "means")
+        near = similar_groups(means.select(F.col("document").alias("id"), F.col("document").alias("grp"), "vec"), size, least)
+        both = near.join(means.select(F.col("document").alias("a"), F.col("vec").alias("va")), "a").join(means.select(F.col("document").alias("b"), F.col("vec").alias("vb")), "b")
+        return both.select(F.col("a").alias("document"), F.col("b").alias("other"), value).filter(F.col("avg_similarity") >= least)
+    means = materialize(means, "means")
+    blocks = -(-means.count() // block_rows) or 1
+    block = F.pmod(F.xxhash64("document"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    side = lambda i, j: means.select(F.col("document").cast("long").alias("document"), F.col("vec").alias("vec"), i.alias("i"), j.alias("j"))
+
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if len(a) and len(b):
+            (of_a, x), (of_b, y) = ((t.column("document").to_numpy(), t.column("vec").combine_chunks().flatten().to_numpy().reshape(len(t), -1)) for t in (a, b))
+            for at in range(0, len(of_a), 256):
+                s = np.round(x[at : at + 256] @ y.T, 6)
+                i, j = np.nonzero(of_a[at : at + 256, None] < of_b[None, :])
+                for held, part in zip(out, (of_a[at + i], of_b[j], s[i, j])):
+                    held.append(part)
+        return pa.table([pa.array(np.concatenate(x)) for x in out], ["document", "other", "avg_similarity"])
 
+    return side(block, every).groupBy("i", "j").cogroup(side(every, block).groupBy("i", "j")).applyInArrow(cell, "document long, other long, avg_similarity double")
 
-def document_extremes(pages: DataFrame, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+
+def document_extremes(pages: DataFrame, least: float, size: int) -> DataFrame:
     """``document, other, best, average, n``: over all page pairs of two documents, where the best
     similarity is above ``least``.
 
-    Blocks of pages meet in a grid, and each cell passes on sums for the documents it holds.
+    Blocks of pages that lie near enough meet and pass on the best of two documents; only for the pairs
+    found, the average comes from the documents' sums of unit vectors.
     """
-    import numpy as np
-    import pandas as pd
-
-    own = pages.filter(valid(F.col("vec"))).select("grp", normalize(F.col("vec")).alias("vec"), F.xxhash64("id").alias("_h"))
-    blocks = -(-pages.count() // block_rows) or 1
-    block = F.pmod(F.col("_h"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = own.select(F.col("grp").alias("grp"), F.col("vec").alias("vec"), block.alias("i"), every.alias("j"))
-    right = own.select(F.col("grp").alias("grp"), F.col("vec").alias("vec"), every.alias("i"), block.alias("j"))
-
-    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"document": [], "other": [], "best": [], "total": [], "n": []}).astype({"document": "int64", "other": "int64", "n": "int64"})
-        matrix = np.stack(list(a["vec"])) @ np.stack(list(b["vec"])).T
-        (of_a, x), (of_b, y) = (np.unique(side["grp"].to_numpy(), return_inverse=True) for side in (a, b))
-        best = np.full((len(of_a), len(of_b)), -np.inf)
-        by_a = np.full((len(of_a), matrix.shape[1]), -np.inf)
-        np.maximum.at(by_a, x, matrix)
-        np.maximum.at(best.T, y, by_a.T)
-        ones_a, ones_b = (np.eye(len(of))[at] for of, at in ((of_a, x), (of_b, y)))
-        total, n = ones_a.T @ matrix @ ones_b, np.outer(ones_a.sum(0), ones_b.sum(0))
-        i, j = np.nonzero(of_a[:, None] < of_b[None, :])
-        return pd.DataFrame({"document": of_a[i], "other": of_b[j], "best": best[i, j], "total": total[i, j], "n": n[i, j].astype("int64")})
-
-    cells = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(cell, "document long, other long, best double, total double, n long")
-    sums = cells.groupBy("document", "other").agg(F.round(F.max("best"), 6).alias("best"), F.round(F.sum("total") / F.sum("n"), 6).alias("average"), F.sum("n").alias("n"))
-    return sums.filter(F.col("best") > least)
+    pages = pages.filter(valid(F.col("vec"), size))
+    near = similar_groups(pages, size, least).withColumn("best", F.round("best", 6)).filter(F.col("best") > least)
+    means = document_vectors(pages, size).join(pages.groupBy(F.col("grp").alias("document")).agg(F.count(F.lit(1)).alias("pages")), "document")
+    means = materialize(means, "means")
+    side = lambda s: means.select(F.col("document").alias(s), F.col("vec").alias(f"v{s}"), F.col("pages").alias(f"n{s}"))
+    both = near.join(side("a"), "a").join(side("b"), "b")
+    return both.select(F.col("a").alias("document"), F.col("b").alias("other"), "best", F.round(dot(F.col("va"), F.col("vb")), 6).alias("average"), (F.col("na") * F.col("nb")).alias("n"))
+
+
+def document_bands(pages: DataFrame, size: int, t: Thresholds = DEFAULT) -> DataFrame:
+    """``document, other, similarity, status``: pairs of documents whose vectors are similar or duplicate, by band."""
+    docs = document_vectors(pages, size).select(F.col("document").alias("id"), F.col("document").alias("grp"), "vec")
+    near = similar_groups(materialize(docs, "document_vectors"), size, t.vector_similar).select("a", "b", F.round("best", 6).alias("similarity"))
+    return near.filter(F.col("similarity") >= t.vector_similar).select(F.col("a").alias("document"), F.col("b").alias("other"), "similarity", band(F.col("similarity"), t.vector_duplicate, t.vector_similar).alias("status"))
 
 
 def nearest_documents(pages: DataFrame, size: int, t: Thresholds = DEFAULT) -> DataFrame:

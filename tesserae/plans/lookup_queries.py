@@ -10,7 +10,7 @@ from ..functions.vectors import cosine, cosine_or_nan
 from ..operators import lineage, lookups, reports, versions
 from ..sources import tables
 from ..sources.scratch import materialize, scratch_path
-from .queries import SCALED, _calls, _lineage, documents, files, pages, query, sentence_chunks, table
+from .queries import DIMENSIONS, SCALED, _calls, _lineage, documents, files, pages, query, sentence_chunks, table
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ def pair_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def doc_pair_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return versions.document_extremes(pages(spark, sf_dir), SCALED.vector_similar)
+    return versions.document_extremes(pages(spark, sf_dir), SCALED.vector_similar, DIMENSIONS)
 
 
 @query

@@ -508,4 +508,4 @@ def pages_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("document_id")).agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("role").alias("roles"))
 
 
-from . import lookup_queries  # noqa: E402, F401  (registers its queries here)
+from . import lookup_queries, vector_queries  # noqa: E402, F401  (they register their queries here)
