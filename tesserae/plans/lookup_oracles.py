@@ -88,6 +88,4 @@ ORACLES: dict[str, str] = {
         SELECT doc_id AS document_id, md5(substr(text, greatest(mid - 100, 0) + 1, mid + 100 - greatest(mid - 100, 0))) AS hash FROM m""",
     "table_operations": """
         SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang, CASE WHEN doc_id % 2 = 1 THEN source END AS source, 'documents' AS listed FROM documents WHERE doc_id % 10 <> 3""",
-    "ingestion_batches": """
-        SELECT doc_id AS document_id, md5(substr(text, 1, 400) || chr(10) || chr(10) || 'file ' || doc_id || chr(10) || chr(10) || 'One more line.') AS hash FROM documents WHERE doc_id % 5 = 0""",
 }

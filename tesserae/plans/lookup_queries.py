@@ -10,7 +10,7 @@ from ..functions.vectors import cosine, cosine_or_nan
 from ..operators import lineage, lookups, reports, versions
 from ..sources import tables
 from ..sources.scratch import materialize, scratch_path
-from .queries import DIMENSIONS, SCALED, _calls, _lineage, documents, files, pages, query, sentence_chunks, table
+from .queries import DIMENSIONS, SCALED, _calls, _lineage, documents, pages, query, sentence_chunks, table
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,18 +156,3 @@ def table_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables.append_table(d.filter("doc_id % 2 = 1").select("doc_id", "source"), path)
     tables.delete_rows(spark, path, F.col("doc_id") % 10 == 3)
     return tables.read_table(spark, path).select("doc_id", "lang", "source", F.lit(",".join(tables.list_tables(spark, folder))).alias("listed"))
-
-
-@query
-def ingestion_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two batches through the ingestion plan: all documents, then every file again with a line
-    added to each fifth: what the second batch found, by document."""
-    from .ingestion import Stage, run
-
-    root = scratch_path(spark, "ingested")
-    first = files(spark, sf_dir).select(F.col("path").cast("string").alias("path"), F.substring("content", 1, 400).alias("content"))
-    first = first.withColumn("content", F.concat("content", F.lit("\n\nfile "), "path"))
-    run(first, root, stop_after=Stage.SAVE)
-    second = first.withColumn("content", F.when(F.expr("cast(path as bigint) % 5 = 0"), F.concat("content", F.lit("\n\nOne more line."))).otherwise(F.col("content")))
-    made = run(second, root, stop_after=Stage.DEDUP).made
-    return made["documents"].select(F.col("document_id").cast("long").alias("document_id"), F.md5("text").alias("hash"))

@@ -225,6 +225,6 @@ ORACLES: dict[str, str] = {
     "pages_per_document": "SELECT conv_id AS document_id, count(*) AS pages, count(DISTINCT role) AS roles FROM conversations GROUP BY 1",
 }
 
-from . import lookup_oracles, vector_oracles  # noqa: E402  (they use the parts above)
+from . import flow_oracles, lookup_oracles, vector_oracles  # noqa: E402  (they use the parts above)
 
-ORACLES |= lookup_oracles.ORACLES | vector_oracles.ORACLES
+ORACLES |= lookup_oracles.ORACLES | vector_oracles.ORACLES | flow_oracles.ORACLES

@@ -207,6 +207,7 @@ def text_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _paired(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Sentence chunks of documents as references, and edited ones as their new version."""
     rows = sentence_chunks(spark, sf_dir).select("document_id", F.col("chunk_id").alias("id"), F.col("chunk_index").alias("seq"), F.col("chunk_text").alias("text"))
+    rows = materialize(rows, "chunks")
     edited = F.when(F.col("seq") % 3 == 1, F.concat("text", F.lit(" It was changed."))).when(F.col("seq") % 3 == 2, F.reverse("text")).otherwise(F.col("text"))
     return rows.withColumn("text", edited), rows
 
@@ -508,4 +509,4 @@ def pages_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("document_id")).agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("role").alias("roles"))
 
 
-from . import lookup_queries, vector_queries  # noqa: E402, F401  (they register their queries here)
+from . import flow_queries, lookup_queries, vector_queries  # noqa: E402, F401  (they register their queries here)
