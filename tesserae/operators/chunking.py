@@ -11,15 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ratio_kernel import Texts, blended_pairs, ratios
-from ..functions.text import chunk_text, offsets, word_set
+from ..functions.text import WORD, chunk_text, offsets, word_set
 from ..sources.scratch import materialize
 from ..thresholds import DEFAULT, Thresholds
-from .hot_join import join_counted, likely_ids
+from .hot_join import BROADCAST_IDS, join_counted, likely_ids
 
 #: Texts of a band differ in length by less than this factor.
 BAND = 1.25
 #: Texts of a block, and characters of it where texts are long.
-BLOCK_TEXTS, BLOCK_CHARS = 1024, 4_000_000
+BLOCK_TEXTS, BLOCK_CHARS = 8192, 8_000_000
 #: New and old chunks of a key that meet in one task, and chunks of keys that are dealt together.
 NEW_BLOCK, OLD_BLOCK, KEY_BLOCK = 512, 2048, 4096
 #: Members of a class of equal chunks are dealt over so many keys.
@@ -76,28 +76,31 @@ def similar_pairs(new: DataFrame, old: DataFrame, key: str, t: Thresholds = DEFA
     """
     sides = [rows.filter(F.col(key).isNotNull() & F.col("text").isNotNull()).select(F.col(key).alias("key"), "id", "seq", "text") for rows in (new, old)]
     marked = [rows.select("key", F.lit(int(i == 0)).alias("n"), F.lit(i).alias("o")) for i, rows in enumerate(sides)]
-    counts = marked[0].unionByName(marked[1]).groupBy("key").agg(F.sum("n").alias("n"), F.sum("o").alias("o")).filter("n > 0 AND o > 0")
-    counts = materialize(counts.withColumn("size", F.greatest("n", "o")), "chunks_of_keys")
-    total = counts.agg(F.sum(F.col("n") + F.col("o"))).first()[0] or 0
-
-    dealt_keys = -(-total // KEY_BLOCK) or 1
+    counts = marked[0].unionByName(marked[1]).groupBy("key").agg(F.sum("n").alias("n"), F.sum("o").alias("o"))
+    counts = materialize(counts, "chunks_of_keys")
+    dealt_keys = -(-(counts.agg(F.sum(F.col("n") + F.col("o"))).first()[0] or 0) // KEY_BLOCK) or 1
+    large = counts.filter((F.col("n") > NEW_BLOCK) | (F.col("o") > OLD_BLOCK)).filter("n > 0 AND o > 0")
+    blocks = [F.ceil(F.col(c) / limit).cast("int").alias(c) for c, limit in (("n", NEW_BLOCK), ("o", OLD_BLOCK))]
+    large = large.select(F.col("key").alias("_key"), *blocks)
+    if large.count() <= BROADCAST_IDS:
+        large = F.broadcast(large)
 
     def dealt(which: int) -> DataFrame:
-        sized = join_counted(sides[which], counts, "key", "size", total)
-        blocks = [F.ceil(F.col(c) / limit).cast("int") for c, limit in (("n", NEW_BLOCK), ("o", OLD_BLOCK))]
-        large = (blocks[0] > 1) | (blocks[1] > 1)
-        mine = F.pmod(F.xxhash64("id"), blocks[which]).cast("int")
-        every = F.explode(F.sequence(F.lit(0), blocks[1 - which] - 1))
+        sized = sides[which].join(large, F.col("key") == F.col("_key"), "left")
+        own, other = (F.coalesce(F.col(c), F.lit(1)) for c in (("n", "o") if which == 0 else ("o", "n")))
+        mine, every = F.pmod(F.xxhash64("id"), own).cast("int"), F.explode(F.sequence(F.lit(0), other - 1))
         names = ("i", "j") if which == 0 else ("j", "i")
-        together = F.when(~large, F.pmod(F.xxhash64("key"), F.lit(dealt_keys)).cast("int"))
+        together = F.when(F.col("_key").isNull(), F.pmod(F.xxhash64("key"), F.lit(dealt_keys)).cast("int"))
         # New column ids, as both sides may come from one table.
-        return sized.select(*[F.col(c).alias(c) for c in ("key", "id", "seq", "text")], word_set(F.col("text")).alias("ws"), together.alias("together"), F.when(large, F.col("key")).alias("alone"), mine.alias(names[0]), every.alias(names[1]))
+        return sized.select(*[F.col(c).alias(c) for c in ("key", "id", "seq", "text")], together.alias("together"), F.col("_key").alias("alone"), mine.alias(names[0]), every.alias(names[1]))
 
     kind = {c: sides[0].schema[c].dataType.simpleString() for c in ("key", "id", "seq")}
     schema = f"key {kind['key']}, " + ", ".join(f"{s}_id {kind['id']}, {s}_seq {kind['seq']}, {s}_text string" for s in ("new", "old")) + ", ratio double, words double, similarity double"
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
-        found = []
+        import regex
+
+        found, find = [], regex.compile(WORD).findall
         if len(a) and len(b):
             codes = {k: i for i, k in enumerate(dict.fromkeys(b.column("key").to_pylist()))}
             b = b.append_column("_code", pa.array([codes[k] for k in b.column("key").to_pylist()]))
@@ -105,7 +108,7 @@ def similar_pairs(new: DataFrame, old: DataFrame, key: str, t: Thresholds = DEFA
             cuts = np.searchsorted(b.column("_code").to_numpy(), np.arange(len(codes) + 1)).tolist()
             spans = [(cuts[c], cuts[c + 1]) if (c := codes.get(k)) is not None else (0, 0) for k in a.column("key").to_pylist()]
             texts = [Texts(x.column("text").to_pylist()) for x in (a, b)]
-            words = tuple(list(map(set, x.column("ws").to_pylist())) for x in (a, b))
+            words = tuple([set(find(t.lower())) for t in x.texts] for x in texts)
             found = list(blended_pairs(*texts, words, spans, t.text_review, t.near_identical, first_only))
         at = [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)]
         columns = [a.column("key").take(at[0])]
@@ -215,7 +218,9 @@ def overlap_fallback(docs: DataFrame, chunks: DataFrame, t: Thresholds = DEFAULT
     told = chunks.filter("chunk_text IS NOT NULL").select("document_id", F.md5("chunk_text").alias("key"), "chunk_text")
     members = materialize(told.groupBy("key", F.col("document_id").alias("other_id")).agg(F.count(F.lit(1)).alias("times")), "chunk_members")
     own = docs.join(classes.select(F.col("id").alias("document_id"), F.col("key").alias("_key")), "document_id").filter(F.md5("text") == F.col("_key"))
-    left = own.select(F.col("_key").alias("key"), "text").dropDuplicates(["key"])
+    longest = told.agg(F.max(F.length("chunk_text"))).first()[0] or 0
+    able = (F.length("text") <= longest) | (2 * longest >= t.chunk_ratio * (F.length("text") + longest) - 1e-6)
+    left = own.filter(able).select(F.col("_key").alias("key"), "text").dropDuplicates(["key"])
     right = told.groupBy("key").agg(F.first("chunk_text").alias("text"))
     near = reaching_pairs(left, right, t.chunk_ratio)
     spread = F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("salt")

@@ -99,7 +99,7 @@ def fallback_by_hand(docs, rows):
     return {k: round(n / total[k[1]], 6) for k, n in hits.items() if n and n / total[k[1]] >= DEFAULT.chunk_fraction}
 
 
-@pytest.mark.parametrize("block_texts", [1024, 3])
+@pytest.mark.parametrize("block_texts", [8192, 3])
 def test_fallback_by_brute_force(spark, monkeypatch, block_texts):
     monkeypatch.setattr(chunking, "BLOCK_TEXTS", block_texts)
     rng = random.Random(5)
