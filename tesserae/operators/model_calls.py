@@ -56,22 +56,25 @@ def answers(client: Client, texts: list[str], key: str, retries: int, delay: flo
     """For each text its answer, else an error, and the calls of its batch or its own.
 
     Items go by their place in the batch as id, so that ids which repeat can't be mixed up.  A batch
-    that fails, and answers that it leaves out, are made up for by one call a text.
+    that fails, and answers that it leaves out, are made up for by one call a text, unless the batch
+    was that text alone.
     """
     items = [{"id": str(i), "text": t} for i, t in enumerate(texts)]
     found: dict[str, dict] = {}
-    calls = retries + 1
+    calls, failure = retries + 1, "no answer"
     try:
         told, calls = ask(client, items, key, retries, delay)
         for answer in map(_fields, told):
             if str(answer.get("id")) in {x["id"] for x in items}:
                 found.setdefault(str(answer["id"]), answer)
-    except Exception:  # noqa: BLE001
-        pass
+    except Exception as e:  # noqa: BLE001
+        failure = f"{type(e).__name__}: {e}"
     out: list[tuple[dict | None, str | None, int]] = []
     for item in items:
         own, error, n = found.get(item["id"]), None, calls
-        if own is None:
+        if own is None and len(items) == 1:
+            error = failure
+        elif own is None:
             n += 1
             try:
                 told, _ = ask(client, [item], key, 0, delay)

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +27,10 @@ MAX_CELLS, CENTROID_VALUES = 1024, 1 << 20
 #: Numbers of the sample that centroids are fitted on, and rounds of the fit.
 SAMPLE_VALUES, FIT_ROUNDS = 4_000_000, 8
 #: Rings of a unit of distance; distances end at 2.
-RINGS = 16
+RINGS = 8
 BLOCK_ROWS = 4096
+#: Queries that are sent to a ring in one row.
+QUERY_ROWS = 1024
 #: Similarities are rounded to 6 places; a bound must not cut what rounds up.
 MARGIN = 2e-6
 #: Stands for a null group.
@@ -109,7 +112,7 @@ class VectorIndex:
         return read_table(self.spark, f"{self.folder}/blocks")
 
     def rings(self) -> list[tuple[int, int, int, float, float]]:
-        """``cell, ring, blocks, lo, hi``: 33 rings of each cell at most."""
+        """``cell, ring, blocks, lo, hi``: 17 rings of each cell at most."""
         of = self.blocks().groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("blocks"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         return [tuple(r) for r in of.orderBy("cell", "ring").collect()]
 
@@ -170,12 +173,13 @@ class VectorIndex:
         of_ring, lo, hi = (np.array([r[i] for r in rings]) for i in (1, 3, 4))
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # Cells without rows aren't looked into, so they don't count as probes.
+            full, made = np.unique(of_cell), 0
             for batch in batches:
-                for a in range(0, len(batch), 256):
-                    part = batch.slice(a, 256)
-                    distance = _distances(units(_matrix(part.column(2))), centroids)
-                    # Cells without rows aren't looked into, so they don't count as probes.
-                    full = np.unique(of_cell)
+                for a in range(0, len(batch), QUERY_ROWS):
+                    part = batch.slice(a, QUERY_ROWS)
+                    vectors = _matrix(part.column(2))
+                    distance = _distances(units(vectors), centroids)
                     nearest = full[np.argsort(distance[:, full], axis=1, kind="stable")[:, :probes]]
                     probed = np.zeros((len(part), len(centroids)), bool)
                     np.put_along_axis(probed, nearest, True, 1)
@@ -185,19 +189,25 @@ class VectorIndex:
                         least = np.maximum(np.maximum(d - hi, lo - d), 0)
                         reached = part.column(3).fill_null(-2.0).to_numpy(zero_copy_only=False)
                         wanted = ~wanted & (1 - least * least / 2 >= reached[:, None] - MARGIN)
-                    q, r = np.nonzero(wanted)
-                    chosen = part.select([0, 1, 2]).take(pa.array(q))
-                    yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(of_cell[r].astype(np.int32)), pa.array(of_ring[r].astype(np.int32))], ["id", "grp", "vec", "cell", "ring"])
-
-        found = "id long, grp long, vec array<double>, cell int, ring int"
+                    ids, grps = part.column(0).to_numpy(), part.column(1).fill_null(NO_GROUP).to_numpy()
+                    for r in np.flatnonzero(wanted.any(0)).tolist():
+                        own = wanted[:, r]
+                        row = [int(of_cell[r]), int(of_ring[r]), (TaskContext.get().partitionId() << 32) + made]
+                        row += [x[own].astype(k).tobytes() for x, k in ((ids, "<i8"), (grps, "<i8"), (vectors, "<f8"))]
+                        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["cell", "ring", "slice", "q_ids", "q_grps", "q_vectors"])
+                    made += 1
+
+        found = "cell int, ring int, slice long, q_ids binary, q_grps binary, q_vectors binary"
         if not rings:
             return self.spark.createDataFrame([], "q_id long, r_id long, similarity double")
         asked = queries.select("id", "grp", "vec", *([bound] if bound else [])).mapInArrow(choose, found)
-        asking = {(c, r): n for c, r, n in asked.groupBy("cell", "ring").count().collect()}
-        table = [(c, r, b, -(-asking[c, r] // BLOCK_ROWS)) for c, r, b, _, _ in rings if (c, r) in asking]
+        asked = materialize(asked, "asked")
+        asking = {(c, r): n for c, r, n in asked.groupBy("cell", "ring").agg(F.sum(F.octet_length("q_ids") / 8)).collect()}
+        table = [(c, r, b, -(-int(asking[c, r]) // BLOCK_ROWS)) for c, r, b, _, _ in rings if (c, r) in asking]
         known = F.broadcast(self.spark.createDataFrame(table, "cell int, ring int, blocks int, parts int"))
-        part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
-        left = asked.join(known, ["cell", "ring"]).select("id", "grp", "vec", "cell", "ring", part, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("number"))
+        part = F.pmod(F.xxhash64("slice"), F.col("parts")).cast("int").alias("part")
+        left = asked.join(known, ["cell", "ring"]).select("cell", "ring", part, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("number"), "q_ids", "q_grps", "q_vectors")
         right = self.blocks().join(known, ["cell", "ring"]).select("cell", "ring", "number", "ids", "grps", "vectors", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         by = ("cell", "ring", "number", "part")
         return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_nearest(k, same_group), "q_id long, r_id long, similarity double")
@@ -264,15 +274,17 @@ def _highest(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, n
     return a[first], b[first], s[first]
 
 
+def _unpacked(rows: pa.Table, prefix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, groups and unit vectors of packed rows."""
+    ids, grps, vectors = (np.frombuffer(b"".join(rows.column(f"{prefix}{c}").to_pylist()), k) for c, k in (("ids", "<i8"), ("grps", "<i8"), ("vectors", "<f8")))
+    return ids, grps, units(vectors.reshape(len(ids), -1))
+
+
 def _nearest(k: int, same_group: bool):
     def cell(q: pa.Table, blocks: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if len(q) and len(blocks):
-            q_id, unit = q.column("id").to_numpy(), units(_matrix(q.column("vec")))
-            q_grp = q.column("grp").combine_chunks().fill_null(NO_GROUP).to_numpy()
-            r_id = np.frombuffer(b"".join(blocks.column("ids").to_pylist()), "<i8")
-            r_grp = np.frombuffer(b"".join(blocks.column("grps").to_pylist()), "<i8")
-            right = units(np.frombuffer(b"".join(blocks.column("vectors").to_pylist()), "<f8").reshape(len(r_id), -1))
+            (q_id, q_grp, unit), (r_id, r_grp, right) = (_unpacked(q, "q_"), _unpacked(blocks, ""))
             order = np.argsort(r_id, kind="stable")
             r_id, r_grp, right = r_id[order], r_grp[order], right[order]
             for a in range(0, len(q_id), 256):

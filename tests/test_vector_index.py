@@ -24,7 +24,7 @@ def clustered(seed, n, size=8, around=6):
 ODD = [(None, 1, [1.0] * 8), (901, 1, None), (902, 1, [0.0] * 8), (903, 2, [float("nan")] * 8), (904, 2, [float("inf")] + [1.0] * 7), (905, 2, [1.0] * 7), (906, 3, [None] + [1.0] * 7)]
 
 
-@pytest.mark.parametrize("block_rows, rings", [(4096, 16), (7, 16), (5, 0)])
+@pytest.mark.parametrize("block_rows, rings", [(4096, 8), (7, 16), (5, 0)])
 def test_exact_search_equals_plain_products(spark, monkeypatch, block_rows, rings):
     monkeypatch.setattr(vector_index, "BLOCK_ROWS", block_rows)
     rows = clustered(1, 160)
@@ -53,7 +53,7 @@ def test_bounds_spare_far_cells(spark):
     index = vector_index.VectorIndex.build(df, scratch_path(spark, "ix"), 8, cells=6)
     asked = df.filter("id % 10 = 0").withColumn("reached", F.lit(0.9))
     looked = index._meet(asked, 1, "reached", 3, True)
-    assert looked.count() < 30 * 3  # of 30 queries, few look beyond their own cell
+    assert looked.select("q_id").distinct().count() < 15  # of 30 queries, few look beyond their own cell
     assert {tuple(x) for x in index.search(asked, 3).collect()} == {tuple(x) for x in neighbours(asked.select("id", "grp", "vec"), df, 3).collect()}
 
 
