@@ -32,4 +32,33 @@ ORACLES: dict[str, str] = {
         y AS (SELECT document_id, coalesce(lo <> document_id::VARCHAR OR hi <> document_id::VARCHAR, false)::INT AS d FROM b LEFT JOIN o USING (chunk_hash) WHERE document_id % 5 = 0)
         {_VERDICT.format(n=1, t="x")} UNION ALL {_VERDICT.format(n=2, t="y")}""",
     "ingestion_watch": f"SELECT document_id, chunk_index::BIGINT AS chunk_index, chunk_hash FROM ({_chunks_of(_SECOND)})",
+    "requirement_ingestion": r"""
+        WITH r AS (
+            SELECT doc_id, unnest(ls) AS src, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '')[1:2] AS ls FROM documents)
+        ), q AS (
+            SELECT doc_id, doc_id * 10 + i AS number, doc_id || ':' || lpad(i::VARCHAR, 4, '0') AS rid, substr(src, 1, 300) AS de, substr(src, 1, 20) || chr(10) || substr(src, 1, 300) AS tx FROM r
+        ), v AS (
+            SELECT *, list_transform(['a', 'e', 'i', 'o', 'u', 'd', 'n', 'r', 's', 't'], lambda c: (length(tx) - length(replace(tx, c, '')))::DOUBLE) AS v FROM q
+        ), st AS (SELECT * FROM v WHERE doc_id % 2 = 0),
+        cp AS (SELECT c.doc_id, s.* EXCLUDE (doc_id), s.doc_id AS od FROM documents c JOIN st s ON s.doc_id = c.doc_id - 1 WHERE c.doc_id % 9 = 0 AND c.doc_id % 2 = 1),
+        nw AS (SELECT * FROM v WHERE doc_id % 2 = 1 AND doc_id NOT IN (SELECT doc_id FROM cp)),
+        nn AS (
+            SELECT n.rid, n.de, s.rid AS old, s.de AS ode, round(list_cosine_similarity(n.v, s.v), 6) AS sim FROM nw n, st s
+            WHERE list_dot_product(n.v, n.v) > 0 AND list_dot_product(s.v, s.v) > 0
+            QUALIFY row_number() OVER (PARTITION BY n.rid ORDER BY round(list_cosine_similarity(n.v, s.v), 6) DESC, s.number) = 1
+        ), j AS (
+            SELECT rid, old, sim, CASE WHEN sim >= 0.998 THEN true WHEN lower(de[1]) = 's' THEN false ELSE abs(length(de) - length(ode)) <= 20 END AS dup,
+                   CASE WHEN sim >= 0.998 THEN sim WHEN lower(de[1]) = 's' THEN NULL ELSE 0.75 END AS conf FROM nn WHERE sim >= 0.992
+        ), a AS (
+            SELECT rid, doc_id, NULL::VARCHAR AS cf, de, false AS dup, NULL::VARCHAR AS dof, NULL::DOUBLE AS conf FROM st
+            UNION ALL SELECT nw.rid, doc_id, NULL, de, coalesce(dup, false), CASE WHEN dup THEN old END, conf FROM nw LEFT JOIN j USING (rid)
+        ), f AS (
+            SELECT *, CASE WHEN dup THEN NULL ELSE lower(de[1]) <> 't' AND contains(de, 'x') END AS sw, CASE WHEN dup THEN NULL WHEN lower(de[1]) = 't' THEN 0.5 ELSE 0.75 END AS sc,
+                   CASE WHEN NOT dup AND lower(de[1]) = 't' THEN 'ConnectionError: refused' END AS er FROM a
+        )
+        SELECT rid AS requirement_id, doc_id::VARCHAR AS source_chunk_id, cf AS copied_from, md5(de) AS hash, dup AS is_duplicate, dof AS duplicate_of, conf::DOUBLE AS confidence,
+               sw AS is_software_related, sc::DOUBLE AS software_confidence, er AS error FROM f
+        UNION ALL
+        SELECT c.doc_id || ':' || split_part(c.rid, ':', 2), c.doc_id::VARCHAR, c.od::VARCHAR, md5(c.de), f.dup, f.dof, NULL, f.sw, f.sc, NULL FROM cp c JOIN f ON f.rid = c.rid
+    """,
 }
