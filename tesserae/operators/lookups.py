@@ -56,11 +56,16 @@ def ranked_edges(edges: DataFrame) -> DataFrame:
 
 
 def samples(rows: DataFrame, key: str, order: str, text: str, n: int, n_chars: int) -> DataFrame:
-    """``key, n, sample_1 to n``: how many rows a key has, and the beginnings of its first ones."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    ranked = rows.select(key, text, place.alias("_n"))
-    picked = [F.max(F.when(F.col("_n") == i, F.substring(text, 1, n_chars))).alias(f"sample_{i}") for i in range(1, n + 1)]
-    return ranked.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *picked)
+    """``key, n, sample_1 to n``: how many rows a key has, and the beginnings of its first ones.
+
+    Counts combine and first rows are chosen before the shuffle, so that a key with many rows is no
+    large task.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("_key").orderBy(order))
+    first = rows.select(F.col(key).alias("_key"), order, F.substring(text, 1, n_chars).alias("_text")).withColumn("_n", place).filter(F.col("_n") <= n)
+    picked = first.groupBy("_key").agg(*[F.max(F.when(F.col("_n") == i, F.col("_text"))).alias(f"sample_{i}") for i in range(1, n + 1)])
+    return counts.join(picked, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def frequent_members(rows: DataFrame, key: str, member: str, top: int, n: int) -> DataFrame:

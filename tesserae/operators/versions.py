@@ -46,6 +46,12 @@ def document_vectors(pages: DataFrame, size: int) -> DataFrame:
     return units.groupBy("document").agg(mean_vector("vec", size).alias("vec"))
 
 
+def whole_documents(pages: DataFrame, size: int | None = None) -> DataFrame:
+    """``document, pages, whole``: whether all vectors of a document are whole; one that isn't rules it out."""
+    of = pages.groupBy(F.col("grp").alias("document"))
+    return of.agg(F.count(F.lit(1)).alias("pages"), F.bool_and(valid(F.col("vec"), size)).alias("whole"))
+
+
 def document_pairs(pages: DataFrame, size: int, least: float | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Average cosine over all page pairs of two documents: the dot product of their mean unit vectors.
 

@@ -88,4 +88,25 @@ ORACLES: dict[str, str] = {
         SELECT doc_id AS document_id, md5(substr(text, greatest(mid - 100, 0) + 1, mid + 100 - greatest(mid - 100, 0))) AS hash FROM m""",
     "table_operations": """
         SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang, CASE WHEN doc_id % 2 = 1 THEN source END AS source, 'documents' AS listed FROM documents WHERE doc_id % 10 <> 3""",
+    "missing_report": f"""
+        WITH {_CHUNKS}, o AS (SELECT document_id % 10 AS key, chunk_id, chunk_hash, chunk_text FROM chunks WHERE document_id % 2 = 0),
+        n AS (SELECT DISTINCT (document_id + 9) % 10 AS key, chunk_hash FROM chunks WHERE document_id % 2 = 1),
+        g AS (SELECT o.* FROM o LEFT JOIN n USING (key, chunk_hash) WHERE n.key IS NULL),
+        l AS (SELECT key, count(*) AS n, list(substr(chunk_text, 1, 200) ORDER BY chunk_id) AS ts FROM g GROUP BY 1)
+        SELECT key, n, ts[1] AS sample_1, ts[2] AS sample_2, ts[3] AS sample_3 FROM l""",
+    "reviewed_chunks": f"""
+        WITH {_LINEAGE} SELECT chunk_id, document_id, CASE WHEN doc_id % 3 <> 0 THEN duplicate_of END AS duplicate_of,
+               CASE WHEN doc_id % 4 = 0 THEN 'r' || chunk_id ELSE replaced_by END AS replaced_by FROM lin""",
+    "schema_differences": """
+        SELECT 'title' AS column, 'missing' AS status, 0::BIGINT AS non_null UNION ALL SELECT 'lang', 'extra', count(lang) FROM documents
+        UNION ALL SELECT 'n_chars', 'extra', count(n_chars) FROM documents UNION ALL SELECT 'source', 'type', count(source) FROM documents""",
+    "expected_flags": """
+        WITH a AS (SELECT doc_id, doc_id <> min(doc_id) OVER (PARTITION BY text) AS d FROM documents)
+        SELECT doc_id, 'is_duplicate' AS column, 'false' AS expected, 'true' AS actual FROM a WHERE doc_id % 3 <> 0 AND d
+        UNION ALL SELECT doc_id, 'is_even', 'false', 'true' FROM a WHERE doc_id % 10 = 0""",
+    "whole_documents": "SELECT vec_id // 25 AS document, count(*) AS pages, bool_and(vec_id % 97 <> 0) AS whole FROM embeddings GROUP BY 1",
+    "lineage_cosines": f"""
+        WITH {_LINEAGE}, x AS (SELECT lin.*, embedding::DOUBLE[] AS v FROM lin LEFT JOIN embeddings ON vec_id = doc_id),
+        l AS (SELECT chunk_id, v, 'replacement' AS relation, replaced_by AS other_id FROM x UNION ALL SELECT chunk_id, v, 'previous', previous_chunk_id FROM x UNION ALL SELECT chunk_id, v, 'original', duplicate_of FROM x)
+        SELECT l.chunk_id, relation, other_id, round(list_cosine_similarity(l.v, x.v), 6) AS similarity FROM l JOIN x ON l.other_id = x.chunk_id""",
 }

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions.vectors import cosine, cosine_or_nan
-from ..operators import lineage, lookups, reports, versions
+from ..operators import chunking, lineage, lookups, reports, versions
 from ..sources import tables
 from ..sources.scratch import materialize, scratch_path
 from .queries import DIMENSIONS, SCALED, _calls, _lineage, documents, pages, query, sentence_chunks, table
@@ -73,7 +74,7 @@ def hash_members_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def missing_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many sentences chunks a document's group has, and the beginnings of three."""
+    """How many sentence chunks a document's group has, and the beginnings of three."""
     rows = sentence_chunks(spark, sf_dir).withColumn("key", F.col("document_id") % 10)
     return lookups.samples(rows, "key", "chunk_id", "chunk_text", 3, 200)
 
@@ -156,3 +157,53 @@ def table_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables.append_table(d.filter("doc_id % 2 = 1").select("doc_id", "source"), path)
     tables.delete_rows(spark, path, F.col("doc_id") % 10 == 3)
     return tables.read_table(spark, path).select("doc_id", "lang", "source", F.lit(",".join(tables.list_tables(spark, folder))).alias("listed"))
+
+
+@query
+def missing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of even documents that the odd ones of the group beside lack: how many, and three of them."""
+    rows = sentence_chunks(spark, sf_dir).withColumn("key", F.col("document_id") % 10)
+    newer = rows.filter("document_id % 2 = 1").withColumn("key", F.pmod(F.col("key") - 1, F.lit(10)))
+    gone = materialize(chunking.missing_chunks(rows.filter("document_id % 2 = 0"), newer), "missing")
+    return lookups.samples(gone, "key", "chunk_id", "excerpt", 3, 200)
+
+
+@query
+def reviewed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review decisions by id: every third chunk loses its original, every fourth gets a replacement."""
+    rows, number = _lineage(spark, sf_dir), F.substring("chunk_id", 2, 20).cast("long")
+    columns = F.array_compact(F.array(F.when(number % 3 == 0, F.lit("duplicate_of")), F.when(number % 4 == 0, F.lit("replaced_by"))))
+    changes = rows.select("chunk_id", F.lit(None).cast("string").alias("duplicate_of"), F.concat(F.lit("r"), "chunk_id").alias("replaced_by"), columns.alias("changed"))
+    return lineage.update_rows(rows, changes, "chunk_id", "changed").select("chunk_id", "document_id", "duplicate_of", "replaced_by")
+
+
+@query
+def schema_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' columns against those that another reader asks for."""
+    asked = StructType().add("doc_id", "long").add("text", "string").add("source", "long").add("title", "string")
+    return lineage.schema_differences(table(spark, sf_dir, "documents"), asked)
+
+
+@query
+def expected_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags of documents that copies change: those that differ from what is expected; a third asserts nothing."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    first = rows.groupBy("hash").agg(F.min("doc_id").alias("first"))
+    actual = rows.join(first, "hash").select("doc_id", (F.col("doc_id") != F.col("first")).alias("is_duplicate"), (F.col("doc_id") % 2 == 0).alias("is_even"))
+    unasserted = F.when(F.col("doc_id") % 3 != 0, F.lit(False))
+    expected = rows.select("doc_id", unasserted.alias("is_duplicate"), F.when(F.col("doc_id") % 10 == 0, F.lit(False)).alias("is_even"))
+    return reports.mismatches(expected, actual, "doc_id")
+
+
+@query
+def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 97th page lost its vector: which groups of 25 pages are whole."""
+    p = pages(spark, sf_dir).withColumn("grp", F.floor(F.col("id") / 25)).withColumn("vec", F.when(F.col("id") % 97 != 0, F.col("vec")))
+    return versions.whole_documents(p, DIMENSIONS)
+
+
+@query
+def lineage_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = pages(spark, sf_dir).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("_c"), "vec")
+    rows = _lineage(spark, sf_dir)
+    return lineage.lineage_cosines(rows.join(vectors, F.col("chunk_id") == F.col("_c"), "left"))
