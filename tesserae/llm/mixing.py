@@ -17,8 +17,9 @@ import heapq
 from fractions import Fraction
 from math import lcm
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.scratch import materialize
 
@@ -100,7 +101,7 @@ def mix(docs: DataFrame, weights: dict[Source, float] | None = None, id_col: str
     buckets = min(max(total // BUCKET_ROWS, 1), MAX_BUCKETS)
     plan = schedule({s: -(-n // block_rows) for s, n in counts.items()}, weights)
 
-    own, whole = F.col(f"`{id_col}`"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    own, whole = F.col(f"`{id_col}`"), F.xxhash64(*[_hashable(f) for f in docs.schema.fields])
     key = F.when(own.isNull(), whole).otherwise(F.xxhash64(own))
     bucket = (F.shiftrightunsigned(key, 33) * buckets / F.lit(1 << 31)).cast("long").alias("_bucket")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("doc_id"), source, key.alias("_key"), whole.alias("_whole"), bucket)
@@ -117,6 +118,12 @@ def mix(docs: DataFrame, weights: dict[Source, float] | None = None, id_col: str
     return timed.select("row", "doc_id", "source", "phase", "block", "slot", (F.col("slot") * block_rows + F.col("rank") % block_rows).alias("position"))
 
 
+def _hashable(field: T.StructField) -> Column:
+    """A column that can be hashed: maps are none, and are told as JSON."""
+    column, kind = F.col(f"`{field.name}`"), field.dataType.simpleString()
+    return F.to_json(F.struct(column.alias("x"))) if "map<" in kind or "variant" in kind else column
+
+
 def mixed_rows(docs: DataFrame, weights: dict[str | None, float] | None = None, **options: object) -> DataFrame:
     """``docs`` with its own columns, in the mixed order over ascending partitions."""
     return mix(docs, weights, **options).select("position", "row").repartitionByRange("position").sortWithinPartitions("position").select("row.*")

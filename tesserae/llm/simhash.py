@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import connected_components
-from ..operators.hot_join import drop_ids, join_counted
+from ..operators.hot_join import drop_ids, fresh, join_counted
 from ..sources.scratch import materialize
 
 MAX_BITS = 3
@@ -204,17 +204,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fewer bits reach.  Null and empty texts, and texts without a word, have fingerprint zero
     and link like any other; a very long text is hashed whole.  Rows that repeat give rows that
     repeat; a null id never names a component unless it has no other; an empty table gives an
-    empty result; other columns are not read.
+    empty result; other columns are not read.  Ids are integers.
     """
     joined = _classes(docs, id_col, text_col)[1]
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _with_fingerprint(column: int):
+def _with_fingerprint(column: int, name: str):
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(column).cast(pa.binary())
-            yield batch.append_column("_fp", pa.array([fingerprint(x.as_py() or b"") for x in texts], pa.int64()))
+            yield batch.append_column(name, pa.array([fingerprint(x.as_py() or b"") for x in texts], pa.int64()))
 
     return told
 
@@ -223,22 +223,25 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` that stay, with all columns: of each component the row of the smallest id.
 
     A row is told by its id, and where an id repeats or is null by its id and fingerprint: of
-    rows with the same of both one stays if any does.  A null id is larger than all others.
+    rows with the same of both one stays if any does.  A null id is larger than all others.  Ids are
+    integers.  Null and empty texts are one class, and a text of any length is hashed whole; an empty
+    table stays empty, and other columns may have any name and type.
     """
     joined = _classes(docs, id_col, text_col)[1]
     keep = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("keep_fp"))
     decided = materialize(joined.select("doc_id", "fp", keep.alias("keep")), "decided", docs.count())
     per_id = decided.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("keep").cast("int")).alias("k"))
     dropped = materialize(per_id.filter("doc_id IS NULL OR k = 0 OR n > 1"), "dropped", decided.count())
-    again = dropped.filter("doc_id IS NULL OR k > 0").select(F.col("doc_id").alias("_again"))
+    mark, print_ = fresh(docs, "_again"), fresh(docs, "_fp")
+    again = dropped.filter("doc_id IS NULL OR k > 0").select(F.col("doc_id").alias(mark))
     plain = drop_ids(docs.filter(F.col(f"`{id_col}`").isNotNull()), id_col, dropped.select(F.col("doc_id").alias(id_col)))
     if again.isEmpty():
         return plain
     own = F.col(f"`{id_col}`").cast("long")
-    rows = docs.join(again, own.eqNullSafe(F.col("_again")), "left_semi")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
-    told = rows.mapInArrow(_with_fingerprint(docs.columns.index(text_col)), schema)
-    packed = told.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("_id"), "_fp")
+    rows = docs.join(again, own.eqNullSafe(F.col(mark)), "left_semi")
+    schema = T.StructType([*docs.schema.fields, T.StructField(print_, T.LongType())])
+    told = rows.mapInArrow(_with_fingerprint(docs.columns.index(text_col), print_), schema)
+    packed = told.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("_id"), F.col(print_).alias("_fp"))
     kept = decided.filter("keep").select(F.col("doc_id").alias("_kept"), F.col("fp").alias("_of")).distinct()
     stay = packed.join(kept, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_fp") == F.col("_of")), "left_semi")
     one = stay.groupBy("_id", "_fp").agg(F.first("row").alias("row"))

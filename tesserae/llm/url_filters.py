@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.hot_join import join_counted, likely_ids
 from ..sources.scratch import materialize
 
-#: Host suffixes of fewer labels aren't keys.
+#: Host suffixes of fewer labels aren't keys, unless a list has such an entry.
 MIN_LABELS = 2
 #: Path beginnings of up to so many segments are keys, unless told otherwise.
 PATH_SEGMENTS = 2
@@ -26,14 +26,19 @@ def _segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda s: s != "")
 
 
-def url_keys(url: Column, segments_limit: int = PATH_SEGMENTS) -> Column:
-    """Keys of a URL with their specificity: ``array<struct<key, rank>>``; null or without host: none."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+def url_keys(url: Column, segments_limit: int = PATH_SEGMENTS, least_labels: int = MIN_LABELS) -> Column:
+    """Keys of a URL with their specificity: ``array<struct<key, rank>>``; null or without host: none.
+
+    A host gives its suffixes of ``least_labels`` labels and more; an address, with dots or in brackets,
+    is one key, as its parts are no domains.
+    """
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)", 1))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)?", 1)
     labels = F.split(host, r"\.")
+    address = host.startswith("[") | host.rlike(r"^\d+(\.\d+){3}$")
     suffixes = F.when(
-        F.size(labels) >= MIN_LABELS,
-        F.transform(F.sequence(F.lit(MIN_LABELS), F.size(labels)), lambda n: F.struct(F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".").alias("key"), n.alias("rank"))),
+        (F.size(labels) >= least_labels) & ~address,
+        F.transform(F.sequence(F.lit(least_labels), F.size(labels)), lambda n: F.struct(F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".").alias("key"), n.alias("rank"))),
     ).otherwise(F.array(F.struct(host.alias("key"), F.lit(1).alias("rank"))))
     segments = _segments(path)
     depth = F.least(F.size(segments), F.lit(segments_limit))
@@ -70,7 +75,7 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str, url_co
     of the fetch, ``pass`` without one; path keys are more specific than hosts, and of one host and
     path each depth is one key, so that there are no ties.  A null URL or time, and a URL without
     host, passes.  Path beginnings are asked for down to the list's deepest entry, however long the
-    URL.  Rows that repeat give rows that repeat; an empty list passes all; an empty table gives an
+    URL, and suffixes of one label where the list has such an entry.  Rows that repeat give rows that repeat; an empty list passes all; an empty table gives an
     empty result; other columns are not read.
 
     Only keys that the list may hold are joined.  Keys with a large share of these rows are few and
@@ -78,10 +83,11 @@ def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str, url_co
     their row number, which no two share.
     """
     listed = materialize(validity(entries), "listed")
-    deepest = listed.agg(F.max(F.size(F.split("entry", "/")) - 1)).first()[0] or 0
+    labels = F.size(F.split(F.substring_index("entry", "/", 1), r"\."))
+    deepest, shortest = (x or 0 for x in listed.agg(F.max(F.size(F.split("entry", "/")) - 1), F.min(labels)).first())
     rows = captures.select(F.col(id_col).alias("id"), F.col(time_col).cast("timestamp").alias("fetched"), F.col(url_col).cast("string").alias("url"))
     rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "captures")
-    asked = rows.select("rid", "fetched", F.inline(url_keys(F.col("url"), deepest))).withColumn("hashed", F.xxhash64("key"))
+    asked = rows.select("rid", "fetched", F.inline(url_keys(F.col("url"), deepest, max(min(shortest, MIN_LABELS), 1)))).withColumn("hashed", F.xxhash64("key"))
     asked = likely_ids(asked, "hashed", listed.select(F.xxhash64("entry").alias("hashed"))).drop("hashed")
     per_key = asked.groupBy(F.col("key").alias("entry")).agg(F.count(F.lit(1)).alias("n"))
     counted = materialize(listed.join(per_key, "entry").withColumnRenamed("entry", "key"), "counted")
