@@ -175,9 +175,15 @@ def capability_summary(counted: DataFrame) -> DataFrame:
     return counted.agg(*[F.coalesce(F.bool_or(F.col(k) > 0), F.lit(False)).alias(f"any_{k}") for k in LOG_COUNTS])
 
 
+#: Lineage columns and what a summary calls them.
+LINEAGE = (("duplicate_of", "duplicate of"), ("replaced_by", "replaced by"), ("previous_chunk_id", "before"), ("aligned_with_chunk_id", "aligned with"), ("aligned_with_document_id", "aligned with document"))
+
+
 def chunk_summaries(chunks: DataFrame) -> DataFrame:
-    """One line per chunk: id, document, and its first 150 characters."""
-    return chunks.select("chunk_id", F.concat_ws(" | ", "chunk_id", F.col("document_id").cast("string"), F.substring("chunk_text", 1, 150)).alias("line"))
+    """One line per chunk: id, document, its first 150 characters, and the lineage fields that the table has
+    and the chunk sets."""
+    told = [F.concat(F.lit(f"{name} "), F.nullif(F.col(c).cast("string"), F.lit(""))) for c, name in LINEAGE if c in chunks.columns]
+    return chunks.select("chunk_id", F.concat_ws(" | ", "chunk_id", F.col("document_id").cast("string"), F.substring("chunk_text", 1, 150), *told).alias("line"))
 
 
 def html_table(df: DataFrame, title: str, limit: int = 1000) -> str:

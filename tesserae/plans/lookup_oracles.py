@@ -109,4 +109,7 @@ ORACLES: dict[str, str] = {
         WITH {_LINEAGE}, x AS (SELECT lin.*, embedding::DOUBLE[] AS v FROM lin LEFT JOIN embeddings ON vec_id = doc_id),
         l AS (SELECT chunk_id, v, 'replacement' AS relation, replaced_by AS other_id FROM x UNION ALL SELECT chunk_id, v, 'previous', previous_chunk_id FROM x UNION ALL SELECT chunk_id, v, 'original', duplicate_of FROM x)
         SELECT l.chunk_id, relation, other_id, round(list_cosine_similarity(l.v, x.v), 6) AS similarity FROM l JOIN x ON l.other_id = x.chunk_id""",
+    "lineage_summaries": f"""
+        WITH {_LINEAGE} SELECT chunk_id, concat_ws(' | ', chunk_id, lin.document_id, substr(text, 1, 150), 'duplicate of ' || nullif(duplicate_of, ''), 'replaced by ' || nullif(replaced_by, ''),
+               'before ' || nullif(previous_chunk_id, ''), 'aligned with document ' || nullif(aligned_with_document_id, '')) AS line FROM lin JOIN documents USING (doc_id)""",
 }

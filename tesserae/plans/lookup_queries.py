@@ -207,3 +207,10 @@ def lineage_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = pages(spark, sf_dir).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("_c"), "vec")
     rows = _lineage(spark, sf_dir)
     return lineage.lineage_cosines(rows.join(vectors, F.col("chunk_id") == F.col("_c"), "left"))
+
+
+@query
+def lineage_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line per chunk of a table with lineage."""
+    texts = table(spark, sf_dir, "documents").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("_c"), F.substring("text", 1, 200).alias("chunk_text"))
+    return reports.chunk_summaries(_lineage(spark, sf_dir).join(texts, F.col("chunk_id") == F.col("_c")))

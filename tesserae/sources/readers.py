@@ -110,3 +110,13 @@ def export_csv(tables: dict[str, DataFrame], folder: str) -> None:
         nested = lambda t: t.startswith(("array", "map", "struct"))
         text = [(F.to_json(c) if nested(kinds[c]) else F.initcap(F.col(c).cast("string")) if kinds[c] == "boolean" else F.col(c).cast("string")).alias(c) for c in df.columns]
         df.select(*text).fillna("").write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+
+
+def page_markdown(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
+    """``key, content`` for each row of ``keys`` (one column): the text of ``<key>.md`` in a folder without white
+    space around it, and an empty one where there is no such file."""
+    key = keys.columns[0]
+    files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
+    name = F.regexp_extract(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"^(.*)\.md$", 1)
+    found = files.select(name.alias("_key"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("_text"))
+    return keys.join(found, F.col(key) == F.col("_key"), "left").select(F.col(key).alias("key"), F.coalesce("_text", F.lit("")).alias("content"))

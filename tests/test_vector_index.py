@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from tesserae.functions.vectors import neighbours
 from tesserae.operators import vector_index, versions
 from tesserae.plans.queries import QUERIES
-from tesserae.sources import tables
 from tesserae.sources.scratch import scratch_path
 
 ROWS = "id long, grp long, vec array<double>"
@@ -52,7 +51,7 @@ def test_bounds_spare_far_cells(spark):
     df = spark.createDataFrame(clustered(2, 300), ROWS)
     index = vector_index.VectorIndex.build(df, scratch_path(spark, "ix"), 8, cells=6)
     asked = df.filter("id % 10 = 0").withColumn("reached", F.lit(0.9))
-    looked = index._meet(asked, 1, "reached", 3, True)
+    looked = index._meet(asked, (1, None), "reached", 3, True)
     assert looked.select("q_id").distinct().count() < 15  # of 30 queries, few look beyond their own cell
     assert {tuple(x) for x in index.search(asked, 3).collect()} == {tuple(x) for x in neighbours(asked.select("id", "grp", "vec"), df, 3).collect()}
 
@@ -95,16 +94,3 @@ def test_document_pairs_with_and_without_a_threshold(spark):
     assert some == {k: v for k, v in every.items() if v >= 0.3} and 0 < len(some) < 66
     plan = versions.document_pairs(pages, 8)._jdf.queryExecution().executedPlan().toString() + versions.document_extremes(pages, 0.5, 8)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-
-
-def test_a_dead_writers_version_is_stepped_over(spark):
-    path = scratch_path(spark, "t")
-    rows = spark.createDataFrame([(1, "a")], "id long, x string")
-    tables.replace_table(rows, path)
-    # A writer that died left the next version without its end.
-    spark.createDataFrame([("lost",)], "value string").coalesce(1).write.text(f"{path}/v=2")
-    fs, at = tables._fs(spark, f"{path}/v=2/_SUCCESS")
-    assert fs.delete(at, False)
-    assert tables.current_version(spark, path) == "v=1" and tables.read_table(spark, path).count() == 1
-    assert tables.append_table(rows, path) == "v=3" and tables.read_table(spark, path).count() == 2
-    assert tables.append_table(rows, path) == "v=4" and tables.read_table(spark, path).count() == 3
