@@ -35,6 +35,8 @@ QUERY_ROWS = 1024
 MARGIN = 2e-6
 #: Stands for a null group.
 NO_GROUP = -(1 << 63)
+#: The nearest cells of a query, which give its bound.
+FIRST_PROBES = 2
 #: Share of the cells that an approximate search looks into.
 PROBED_SHARE = 0.75
 
@@ -154,20 +156,22 @@ class VectorIndex:
 
         Similarities are cosines rounded to 6 places, ties go to the smaller id, and a query never meets
         its own id nor, with ``same_group`` false, its group.  With ``probes`` only so many of the nearest
-        cells are looked into.  Without, the result is exact: the nearest cell gives a bound for each
-        query, and then all rings that can hold something as near are looked into.  A query's id must
-        not repeat.
+        cells are looked into.  Without, the result is exact.  The nearest cells give a bound for each
+        query; of the others, only rings that can hold something as near are looked into, and only what
+        is as near is passed on.  A query's id must not repeat.
         """
         own = _rows(queries, self.size)
-        if probes is not None:
-            return _best(self._meet(own, probes, None, k, same_group), k)
-        near = materialize(_best(self._meet(own, 1, None, k, same_group), k), "nearest_cell")
+        near = _best(self._meet(own, (0, min(FIRST_PROBES, probes or FIRST_PROBES)), None, k, same_group), k)
+        if probes is not None and probes <= FIRST_PROBES:
+            return near
+        near = materialize(near, "nearest_cells")
         reached = near.filter(F.col("rank") == k).select(F.col("q_id").alias("_q"), F.col("similarity").alias("reached"))
         bounded = own.join(reached, F.col("id") == F.col("_q"), "left").drop("_q")
-        return _best(near.drop("rank").unionByName(self._meet(bounded, 1, "reached", k, same_group)), k)
+        return _best(near.drop("rank").unionByName(self._meet(bounded, (FIRST_PROBES, probes), "reached", k, same_group)), k)
 
-    def _meet(self, queries: DataFrame, probes: int, bound: str | None, k: int, same_group: bool) -> DataFrame:
-        """Best rows per query and block: of its ``probes`` nearest cells, or with a ``bound`` of all others."""
+    def _meet(self, queries: DataFrame, probes: tuple[int, int | None], bound: str | None, k: int, same_group: bool) -> DataFrame:
+        """Best rows per query and block: of the cells from the first to the second place by distance, or from
+        there on, and with a column ``bound`` only those that reach it."""
         rings, centroids = self.rings(), self.centroids
         of_cell = np.array([r[0] for r in rings], np.int64)
         of_ring, lo, hi = (np.array([r[i] for r in rings]) for i in (1, 3, 4))
@@ -180,25 +184,25 @@ class VectorIndex:
                     part = batch.slice(a, QUERY_ROWS)
                     vectors = _matrix(part.column(2))
                     distance = _distances(units(vectors), centroids)
-                    nearest = full[np.argsort(distance[:, full], axis=1, kind="stable")[:, :probes]]
+                    nearest = full[np.argsort(distance[:, full], axis=1, kind="stable")[:, probes[0] : probes[1]]]
                     probed = np.zeros((len(part), len(centroids)), bool)
                     np.put_along_axis(probed, nearest, True, 1)
-                    wanted = probed[:, of_cell]
+                    wanted, reached = probed[:, of_cell], np.full(len(part), -2.0)
                     if bound is not None:
                         d = distance[:, of_cell]
                         least = np.maximum(np.maximum(d - hi, lo - d), 0)
                         reached = part.column(3).fill_null(-2.0).to_numpy(zero_copy_only=False)
-                        wanted = ~wanted & (1 - least * least / 2 >= reached[:, None] - MARGIN)
+                        wanted &= 1 - least * least / 2 >= reached[:, None] - MARGIN
                     ids, grps = part.column(0).to_numpy(), part.column(1).fill_null(NO_GROUP).to_numpy()
                     for r in np.flatnonzero(wanted.any(0)).tolist():
                         own = wanted[:, r]
                         row = [int(of_cell[r]), int(of_ring[r]), (TaskContext.get().partitionId() << 32) + made]
-                        row += [x[own].astype(k).tobytes() for x, k in ((ids, "<i8"), (grps, "<i8"), (vectors, "<f8"))]
-                        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["cell", "ring", "slice", "q_ids", "q_grps", "q_vectors"])
+                        row += [x[own].astype(k).tobytes() for x, k in ((ids, "<i8"), (grps, "<i8"), (vectors, "<f8"), (reached, "<f8"))]
+                        kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+                        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["cell", "ring", "slice", "q_ids", "q_grps", "q_vectors", "q_reached"])
                     made += 1
 
-        found = "cell int, ring int, slice long, q_ids binary, q_grps binary, q_vectors binary"
+        found = "cell int, ring int, slice long, q_ids binary, q_grps binary, q_vectors binary, q_reached binary"
         if not rings:
             return self.spark.createDataFrame([], "q_id long, r_id long, similarity double")
         asked = queries.select("id", "grp", "vec", *([bound] if bound else [])).mapInArrow(choose, found)
@@ -207,7 +211,7 @@ class VectorIndex:
         table = [(c, r, b, -(-int(asking[c, r]) // BLOCK_ROWS)) for c, r, b, _, _ in rings if (c, r) in asking]
         known = F.broadcast(self.spark.createDataFrame(table, "cell int, ring int, blocks int, parts int"))
         part = F.pmod(F.xxhash64("slice"), F.col("parts")).cast("int").alias("part")
-        left = asked.join(known, ["cell", "ring"]).select("cell", "ring", part, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("number"), "q_ids", "q_grps", "q_vectors")
+        left = asked.join(known, ["cell", "ring"]).select("cell", "ring", part, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("number"), "q_ids", "q_grps", "q_vectors", "q_reached")
         right = self.blocks().join(known, ["cell", "ring"]).select("cell", "ring", "number", "ids", "grps", "vectors", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         by = ("cell", "ring", "number", "part")
         return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_nearest(k, same_group), "q_id long, r_id long, similarity double")
@@ -285,6 +289,7 @@ def _nearest(k: int, same_group: bool):
         out: tuple[list, list, list] = ([], [], [])
         if len(q) and len(blocks):
             (q_id, q_grp, unit), (r_id, r_grp, right) = (_unpacked(q, "q_"), _unpacked(blocks, ""))
+            reached = np.frombuffer(b"".join(q.column("q_reached").to_pylist()), "<f8")
             order = np.argsort(r_id, kind="stable")
             r_id, r_grp, right = r_id[order], r_grp[order], right[order]
             for a in range(0, len(q_id), 256):
@@ -292,6 +297,7 @@ def _nearest(k: int, same_group: bool):
                 s[q_id[a : a + 256, None] == r_id[None, :]] = -np.inf
                 if not same_group:
                     s[(q_grp[a : a + 256, None] == r_grp[None, :]) & (r_grp != NO_GROUP)[None, :]] = -np.inf
+                s[s < reached[a : a + 256, None]] = -np.inf
                 best = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 value = np.take_along_axis(s, best, 1)
                 i, j = np.nonzero(value > -np.inf)
