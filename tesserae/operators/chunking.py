@@ -108,7 +108,13 @@ def similar_pairs(new: DataFrame, old: DataFrame, key: str, t: Thresholds = DEFA
             cuts = np.searchsorted(b.column("_code").to_numpy(), np.arange(len(codes) + 1)).tolist()
             spans = [(cuts[c], cuts[c + 1]) if (c := codes.get(k)) is not None else (0, 0) for k in a.column("key").to_pylist()]
             texts = [Texts(x.column("text").to_pylist()) for x in (a, b)]
-            words = tuple([set(find(t.lower())) for t in x.texts] for x in texts)
+            held: dict[tuple[int, int], set] = {}
+
+            def words(side: int, i: int) -> set:
+                if (side, i) not in held:
+                    held[side, i] = set(find(texts[side].texts[i].lower()))
+                return held[side, i]
+
             found = list(blended_pairs(*texts, words, spans, t.text_review, t.near_identical, first_only))
         at = [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)]
         columns = [a.column("key").take(at[0])]

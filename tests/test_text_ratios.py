@@ -38,6 +38,22 @@ def test_no_pair_is_lost():
         assert found == want
 
 
+def test_matches_are_difflibs():
+    rng = random.Random(8)
+    every = texts(5, 14)
+    pairs = [(rng.choice(every), rng.choice(every)) for _ in range(1500)]
+    pairs += [(x[:k] + y, x[:k] + z) for x, y, z in [rng.sample(every, 3) for _ in range(300)] for k in (1, 30)]
+    for x, y in pairs:
+        plain = difflib.SequenceMatcher(None, x, y)
+        assert ratio_kernel.Matcher(y).ratio(x) == plain.ratio()
+        if len(y) >= ratio_kernel.LONG:
+            # Matches that start at no unpopular character: the beginning alone.
+            a, b = ratio_kernel.Texts([x]), ratio_kernel.Texts([y])
+            shared = ratio_kernel.Index(*b.grams(), 1).shared(a.grams()[1])[0]
+            starts = sum(min(p, q) for p, q in zip(a.counts[0].tolist(), b.rare[0].tolist()))
+            assert sum(m.size for m in plain.get_matching_blocks()) <= shared + (ratio_kernel.GRAM - 1) * (starts + 1)
+
+
 def similarity(x, y):
     u, v = (set(re.findall(r"\w+", t.lower())) for t in (x, y))
     w = len(u & v) / len(u | v) if u and v else 0.0
