@@ -2,6 +2,10 @@
 
 ``STAGES`` lists (name, function); each takes (spark, docs, sf_dir) and returns what the next
 one reads.  ``run`` writes every stage's result to the shared folder and reads it again.
+
+In all stages ids are integers, a null text counts as an empty one, texts of any length are read
+whole, rows that repeat are rows, other columns may have any name and type and stay as they are,
+and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,27 +22,32 @@ from tesserae.sources.scratch import materialize
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of a toxic grade; the model is fitted on the labelled ones among ``docs``."""
+    """Drop documents of a toxic grade; the model is fitted on the labelled ones among ``docs``.
+
+    A text without words is told by the thresholds alone; equal texts are told alike.
+    """
     return drop_toxic(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, keep the row with the largest id."""
+    """Of equal texts, keep the row with the largest id; a null id is the smallest, and of rows with equal
+    id and text one stays."""
     return drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints, keep the smallest id."""
+    """Of each component of linked fingerprints, keep the smallest id, a null one being the largest; texts
+    without words are one class."""
     return drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put all documents in the order of the mix of their sources."""
+    """Put all documents in the order of the mix of their sources; null is a source like any other."""
     return mixed_rows(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, and whether decoding gives its text again."""
+    """Piece ids of every document, and whether decoding gives its text again; an empty text has none."""
     return encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
