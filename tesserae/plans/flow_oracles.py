@@ -61,4 +61,8 @@ ORACLES: dict[str, str] = {
         UNION ALL
         SELECT c.doc_id || ':' || split_part(c.rid, ':', 2), c.doc_id::VARCHAR, c.od::VARCHAR, md5(c.de), f.dup, f.dof, NULL, f.sw, f.sc, NULL FROM cp c JOIN f ON f.rid = c.rid
     """,
+    "page_metadata": r"""
+        WITH w AS (SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') ELSE [] END AS w FROM documents)
+        SELECT doc_id AS document_id, array_to_string(w[1:6], ' ') AS title, md5(array_to_string(w[1:30], ' ')) AS summary_hash,
+               array_to_string(list_transform(w[1:3], lambda x: '#' || lower(x)), ',') AS hashtags, doc_id % 13 = 0 AS error_flag FROM w""",
 }

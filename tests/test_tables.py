@@ -43,3 +43,19 @@ def test_pages_without_a_file_are_empty(spark, tmp_path):
     (tmp_path / "page_002.txt").write_text("no")
     keys = spark.createDataFrame([("page_001",), ("page_002",), ("page_003",), (None,)], "k string")
     assert sorted(map(str, ((r["key"], r["content"]) for r in page_markdown(spark, f"file://{tmp_path}", keys).collect()))) == sorted(map(str, [("page_001", "# Title"), ("page_002", ""), ("page_003", ""), (None, "")]))
+
+
+def test_kept_versions_tell_by_what_they_were_replaced(spark):
+    from tesserae.plans.ingestion import Policy, run
+
+    root = scratch_path(spark, "kept")
+    text = "The valve shall close within two seconds of the signal, and the pump shall stop at once, version {}."
+    for n in (1, 2, 3):
+        files = spark.createDataFrame([("a", text.format(n)), ("b", f"Another file, number {n * 7}, that says something else in each of its versions.")][: 3 - n or 1], "path string, content string")
+        run(files, root, policy=Policy(on_missing_content="keep"), extractor=lambda t: F.array(F.struct(t.alias("title"), t.alias("description"), t.alias("source_text"))))
+    rows = {r["chunk_id"]: r for r in tables.read_table(spark, f"{root}/document_chunks").collect()}
+    first, *later = sorted((r for r in rows.values() if r["document_id"] == "a"), key=lambda r: r["chunk_text"])
+    assert first["chunk_id"] == "a_chunk_0001" and all(r["chunk_id"].startswith("a_chunk_0001@") for r in later) and len(later) == 2
+    # The second version replaced the first, and so did the third: all point to the last one.
+    assert first["is_replaced"] and first["replaced_by"] == later[1]["chunk_id"] and not later[1]["is_replaced"]
+    assert {r["status"] for r in later} == {"updated"} and tables.read_table(spark, f"{root}/documents").filter("document_id = 'a'").count() == 3
