@@ -31,8 +31,8 @@ LARGEST = 1 << 27
 #: Below this, products of components are exact in double precision.
 EXACT = 1 << 22
 BLOCK_ROWS = 4096
-#: Blocks of a bucket: 64 MB of vectors.
-BUCKET_BLOCKS = 64
+#: Blocks of a bucket: 64 MB of vectors; and the most buckets that Spark allows, beyond which they grow.
+BUCKET_BLOCKS, MAX_BUCKETS = 64, 100_000
 #: Distances that are computed at once, per centroid.
 AT_ONCE = 1024
 
@@ -196,7 +196,8 @@ def cluster(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     vec = F.col(f"`{vec_col}`")
     rows = vectors.filter(whole(vec, size)).select(F.col(f"`{id_col}`").cast("long").alias("id"), integers(vec).alias("vec"))
     centroids = first_centroids(rows, clusters)
-    buckets = _Buckets(spark, -(-max(rows.count(), 1) // (BLOCK_ROWS * BUCKET_BLOCKS)) + spark.sparkContext.defaultParallelism)
+    wanted = -(-max(rows.count(), 1) // (BLOCK_ROWS * BUCKET_BLOCKS)) + spark.sparkContext.defaultParallelism
+    buckets = _Buckets(spark, min(wanted, MAX_BUCKETS))
     packed = rows.mapInArrow(_pack(size), "block long, n long, ids binary, nulls binary, vectors binary")
     blocks = buckets.write(packed.repartition(buckets.buckets, "block"), "blocks")
     held = blocks.select("block", "n", "vectors")
