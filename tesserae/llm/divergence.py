@@ -30,8 +30,8 @@ LEAST_DOCUMENTS = 10
 TOP_TERMS = 10
 #: Probabilities are counted in parts of this, smoothed by so many occurrences of each term.
 UNIT, SMOOTHED = 1_000_000_000, 2
-#: Bytes of text that are counted together.
-RUN_BYTES = 16_000_000
+#: Bytes of text that are counted together: arrays of a run's words take about 25 times as much.
+RUN_BYTES = 4_000_000
 #: Rows of counts in a chunk.
 CHUNK_ROWS = 400_000
 #: Numbers of a dense slice: sources x ids.
