@@ -16,7 +16,7 @@ from .vector_index import similar_groups
 
 def classify_pages(pages: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """Pages ``id, grp, vec`` against all others: best match, its similarity and band."""
-    best = neighbours(pages, pages, t.top_k).filter("rank = 1").select(F.col("q_id").alias("_id"), "r_id", "similarity")
+    best = neighbours(pages, pages, 1).select(F.col("q_id").alias("_id"), "r_id", "similarity")
     joined = pages.join(best, F.col("id") == F.col("_id"), "left")
     status = F.coalesce(band(F.col("similarity"), t.vector_duplicate, t.vector_similar), F.lit("new"))
     return joined.select("id", F.col("r_id").alias("match_id"), "similarity", status.alias("status"))
