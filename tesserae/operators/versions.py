@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import band
-from ..functions.vectors import BLOCK_ROWS, dot, mean_vector, neighbours, normalize, valid
+from ..functions.vectors import BLOCK_ROWS, below, dot, mean_vector, neighbours, normalize, valid
 from ..sources.scratch import materialize
 from ..thresholds import DEFAULT, Thresholds
 from .vector_index import similar_groups
@@ -22,6 +22,20 @@ def classify_pages(pages: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     return joined.select("id", F.col("r_id").alias("match_id"), "similarity", status.alias("status"))
 
 
+def page_bands(pages: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """Pages ``id, grp, vec`` against all others: ``id, grp, status``, the band of the best match, which isn't sought itself."""
+    known = pages.filter(F.col("id").isNotNull())
+    n, ids = known.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
+    if ids < n:
+        # Rows of one id aren't each other's matches and share their best one.
+        return known.join(classify_pages(known, t).select("id", "status").distinct(), "id").select("id", "grp", "status")
+    short = below(known.select("id", "vec"), [t.vector_duplicate, t.vector_similar]).select(F.col("id").alias("_id"), "level")
+    whole = known.select("id", "grp", valid(F.col("vec")).alias("whole"))
+    level = F.coalesce("level", F.when(F.col("whole"), 0))
+    status = F.when(level == 0, "duplicate").when(level == 1, "similar").otherwise("new")
+    return whole.join(short, F.col("id") == F.col("_id"), "left").select("id", "grp", status.alias("status"))
+
+
 def version_votes(pages: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """Per document the most similar other document, by its first pages' nearest pages.
 
